@@ -1,9 +1,314 @@
-"""Names of all queries of the core."""
+"""All queries of the core, and the SQL that gives the same rows in DuckDB where SQL can express them."""
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.functions.text import clean_id
+from millrace.operators import cluster, explore, graph, itemsets, recommend, similarity, sketch
+from millrace.plans import queries_packed
+from millrace.plans.store import latest, materialize
+from millrace.sources import read_table, streams
+from millrace.streaming import operators as streaming
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+YEAR, TOP = "2016", 20
+
+
+def _reviews(s: SparkSession, d: str) -> DataFrame:
+    ids = {c: clean_id(c) for c in ("review_id", "user_id", "business_id")}
+    return read_table(s, d, "review").withColumns(ids)
+
+
+def _businesses(s: SparkSession, d: str) -> DataFrame:
+    return latest(read_table(s, d, "business").withColumn("business_id", clean_id("business_id")), "business_id", "updated_at", "categories", "state", "city")
+
+
+def _baskets(s: SparkSession, d: str, case: int) -> DataFrame:
+    return itemsets.baskets(read_table(s, d, "user_business"), case)
+
+
+def _sets(s: SparkSession, d: str) -> DataFrame:
+    return similarity.memberships(read_table(s, d, "train_review"), "business_id", "user_id")
+
+
+def _rated(s: SparkSession, d: str) -> DataFrame:
+    return materialize(recommend.ratings(read_table(s, d, "train_review")))
+
+
+def _to_rate(s: SparkSession, d: str) -> DataFrame:
+    return recommend.test_pairs(read_table(s, d, "test_review"))
+
+
+def _profiles(s: SparkSession, d: str) -> DataFrame:
+    words = recommend.content_words(read_table(s, d, "train_review"), read_table(s, d, "stopwords"))
+    return materialize(recommend.item_profiles(words))
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return materialize(graph.cooccurrence_edges(_baskets(s, d, 1), EDGE_SHARED))
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return cluster.points(read_table(s, d, "embeddings"), "vec_id", "embedding")
+
+
+SUPPORT = {1: 12, 2: 12}
+EDGE_SHARED = 4
+
+
+def distinct_reviews(s, d):
+    return explore.count_distinct(_reviews(s, d), "review_id")
+
+
+def distinct_users(s, d):
+    return explore.count_distinct(_reviews(s, d), "user_id")
+
+
+def reviews_in_year(s, d):
+    return explore.rows_in_year(_reviews(s, d), "date", YEAR, "review_id")
+
+
+def top_users(s, d):
+    return explore.top_counts(_reviews(s, d), "user_id", TOP)
+
+
+def top_words(s, d):
+    return explore.top_words(_reviews(s, d), "text", read_table(s, d, "stopwords"), TOP)
+
+
+def review_summary(s, d):
+    return explore.review_summary(_reviews(s, d), read_table(s, d, "stopwords"), YEAR, TOP, TOP)
+
+
+def category_avg_stars(s, d):
+    return explore.category_avg_stars(_reviews(s, d), _businesses(s, d))
+
+
+def top_categories(s, d):
+    return explore.category_avg_stars(_reviews(s, d), _businesses(s, d), TOP)
+
+
+def popular_businesses(s, d):
+    return explore.frequent_keys(_reviews(s, d), "business_id", 25)
+
+
+def partition_profile(s, d):
+    """Placement by the first character of the id."""
+    return explore.partition_profile(_reviews(s, d).where("business_id is not null"), 16, placement=F.ascii("business_id"))
+
+
+def partition_profile_hash(s, d):
+    return explore.partition_profile(_reviews(s, d), 16, "business_id").agg(F.sum("rows").alias("rows"), F.count("*").alias("partitions"))
+
+
+def state_baskets(s, d):
+    return itemsets.state_baskets(_reviews(s, d).where("user_id is not null"), _businesses(s, d))
+
+
+def frequent_itemsets_users(s, d):
+    return itemsets.frequent_itemsets(_baskets(s, d, 1), SUPPORT[1])
+
+
+def frequent_itemsets_businesses(s, d):
+    return itemsets.frequent_itemsets(_baskets(s, d, 2), SUPPORT[2])
+
+
+def frequent_itemsets_large(s, d):
+    """Only baskets of more than 10 items."""
+    return itemsets.frequent_itemsets(itemsets.large_baskets(_baskets(s, d, 1), 10), SUPPORT[1])
+
+
+def candidate_itemsets(s, d):
+    return itemsets.candidate_itemsets(materialize(frequent_itemsets_users(s, d)))
+
+
+def fp_growth(s, d):
+    return itemsets.fp_growth_itemsets(_baskets(s, d, 1), SUPPORT[1])
+
+
+def jaccard_pairs(s, d):
+    return similarity.jaccard_pairs(materialize(_sets(s, d))).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+def minhash_signatures(s, d):
+    return similarity.minhash_signatures(_sets(s, d), 20).select("id", F.array_join("signature", " ").alias("signature"))
+
+
+def lsh_pairs(s, d):
+    return similarity.lsh_pairs(materialize(_sets(s, d))).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+def item_model(s, d):
+    return recommend.pearson_model(_rated(s, d))
+
+
+def user_model(s, d):
+    return recommend.pearson_model(_rated(s, d), "user", "item")
+
+
+def user_model_lsh(s, d):
+    return recommend.user_model_lsh(_rated(s, d))
+
+
+def item_predict(s, d):
+    rated = _rated(s, d)
+    return recommend.predict_by_items(_to_rate(s, d), rated, materialize(recommend.pearson_model(rated)))
+
+
+def user_predict(s, d):
+    rated = _rated(s, d)
+    return recommend.predict_by_users(_to_rate(s, d), rated, materialize(recommend.pearson_model(rated, "user", "item")))
+
+
+def stored_model_predict(s, d):
+    """Forecasts from the stored item model, its pairs put in order and repeated ones reduced to the greatest similarity."""
+    model = read_table(s, d, "task3item_model").select(clean_id("b1").alias("x"), clean_id("b2").alias("y"), "sim").where("x <> y and sim > 0 and not isnan(sim)")
+    model = model.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("sim").alias("sim"))
+    return recommend.predict_by_items(_to_rate(s, d), _rated(s, d), model)
+
+
+def tfidf_profile(s, d):
+    return _profiles(s, d)
+
+
+def tfidf_indexed(s, d):
+    return recommend.indexed_profiles(_profiles(s, d)).select("item", F.array_join("words", " ").alias("words"))
+
+
+def user_profile(s, d):
+    return recommend.user_profiles(_rated(s, d), _profiles(s, d)).groupBy("user").agg(F.count("*").alias("words"))
+
+
+def content_predict(s, d):
+    profiles = _profiles(s, d)
+    return recommend.predict_by_content(_to_rate(s, d), materialize(recommend.user_profiles(_rated(s, d), profiles)), profiles)
+
+
+def cooccur_graph(s, d):
+    return _edges(s, d)
+
+
+def graph_components(s, d):
+    return graph.components(_edges(s, d))
+
+
+def graph_communities(s, d):
+    return graph.communities(graph.label_propagation(_edges(s, d)), "label").select("size", F.array_join("members", " ").alias("members"))
+
+
+def label_propagation(s, d):
+    return graph.label_propagation(_edges(s, d))
+
+
+def edge_betweenness(s, d):
+    return graph.edge_betweenness(_edges(s, d), 6)
+
+
+def graph_modularity(s, d):
+    edges = _edges(s, d)
+    return graph.modularity(edges, graph.components(edges), "component")
+
+
+def girvan_newman(s, d):
+    return graph.girvan_newman(_edges(s, d))
+
+
+def kmeans_assign(s, d):
+    pts = materialize(_points(s, d))
+    return cluster.assign(pts, cluster.kmeans(pts, 10))
+
+
+def mahalanobis(s, d):
+    """Distance of every point to the summary of its label."""
+    pts = read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+    own = cluster.summaries(pts, "label").withColumnRenamed("cluster", "label")
+    return pts.join(own, "label").select("id", "label", F.round(cluster.mahalanobis("features", "n", "sums", "squares"), 6).alias("distance"))
+
+
+def _chunked(s, d):
+    pts = materialize(_points(s, d))
+    return cluster.cluster_chunks([pts.where(F.col("id") % 5 == k) for k in range(5)], 10)
+
+
+def chunked_labels(s, d):
+    return _chunked(s, d).labels
+
+
+def chunked_rounds(s, d):
+    return cluster.rounds_table(s, _chunked(s, d).rounds)
+
+
+def nmi(s, d):
+    """Agreement of parity classes of the ids with the labels of the vectors."""
+    rows = read_table(s, d, "embeddings").select("label", (F.col("vec_id") % 10).cast("int").alias("own"))
+    return cluster.nmi(rows, "own", "label")
+
+
+def _cities(s, d, there: bool):
+    at = F.coalesce(F.upper(F.trim("state")) == "NV", F.lit(False))
+    return read_table(s, d, "business").where(at if there else ~at).select(F.coalesce(F.trim("city"), F.lit("")).alias("city")).distinct()
+
+
+def bloom_probe(s, d):
+    return sketch.bloom_probe(_cities(s, d, False), "city", sketch.bloom_build(_cities(s, d, True), "city"))
+
+
+def fm_estimate(s, d):
+    rows = read_table(s, d, "business").select(F.upper(F.trim("state")).alias("state"), F.trim("city").alias("city"))
+    return sketch.fm_distinct(rows, "city", ["state"]).withColumn("estimate", F.round("estimate", 6))
+
+
+def _tagged(s, d):
+    return read_table(s, d, "events").select("event_id", "ts", F.concat(F.lit("#"), "event_type", F.lit(" at "), F.col("user_id").cast("string")).alias("text"))
+
+
+def top_tags(s, d):
+    return sketch.top_tags(sketch.hashtags(_tagged(s, d), "text"))
+
+
+def reservoir_sample(s, d):
+    return sketch.reservoir(read_table(s, d, "events"), "event_id", 100).select("event_id", "priority")
+
+
+def windowed_distinct(s, d):
+    rows = read_table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"))
+    got = sketch.fm_distinct(rows, "user", [F.window("ts", "30 minutes", "10 minutes").alias("w")])
+    return got.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "truth", F.round("estimate", 6).alias("estimate"))
+
+
+def stream_windowed_distinct(s, d):
+    """The same from a stream, in complete mode."""
+    rows = streams.table_stream(s, d, "events").select("ts", F.col("user_id").cast("string").alias("user"))
+    got = streaming.run_once(streaming.windowed_distinct(rows, "ts", "user", "30 minutes", "10 minutes"), mode="complete")
+    return got.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("truth").cast("long").alias("truth"), F.round("estimate", 6).alias("estimate"))
+
+
+def stream_bloom_probe(s, d):
+    rows = streams.table_stream(s, d, "business").select("business_id", F.trim("city").alias("city"))
+    return streaming.run_once(streaming.streaming_bloom(rows, "city", sketch.bloom_build(_cities(s, d, True), "city"))).groupBy("seen").agg(F.count("*").alias("n"))
+
+
+def stream_reservoir(s, d):
+    sink = streaming.ReservoirSink(s, "event_id", 100)
+    streaming.run_once(streams.table_stream(s, d, "events").select("event_id", "event_type"), sink)
+    return sink.sample().select("event_id")
+
+
+_NAMES = """distinct_reviews distinct_users reviews_in_year top_users top_words review_summary category_avg_stars top_categories popular_businesses
+partition_profile partition_profile_hash state_baskets frequent_itemsets_users frequent_itemsets_businesses frequent_itemsets_large candidate_itemsets fp_growth
+jaccard_pairs minhash_signatures lsh_pairs item_model user_model user_model_lsh item_predict user_predict stored_model_predict tfidf_profile tfidf_indexed
+user_profile content_predict cooccur_graph graph_components graph_communities label_propagation edge_betweenness graph_modularity girvan_newman
+kmeans_assign mahalanobis chunked_labels chunked_rounds nmi bloom_probe fm_estimate top_tags reservoir_sample windowed_distinct stream_windowed_distinct
+stream_bloom_probe stream_reservoir"""
+
+
+def queries() -> dict[str, Query]:
+    return {n: globals()[n] for n in _NAMES.split()} | queries_packed.QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    from millrace.plans.sql import SQL
+
+    return SQL | queries_packed.SQL
