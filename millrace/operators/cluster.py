@@ -40,19 +40,30 @@ def mahalanobis(features: str, n: str, sums: str, squares: str):
 
 def farthest_first(pts: DataFrame, k: int) -> np.ndarray:
     """k starting centroids: the point of the least id, then again and again the point farthest from those taken (ties: the
-    least id). Each step carries the least distance so far; only the point taken comes to the driver."""
+    least id). Each step is one pass in which every task names its farthest point. Ends early if all points are taken."""
     first = pts.orderBy("id").limit(1).collect()
     if not first:
         return np.zeros((0, 0))
     taken = [first[0]["features"]]
-    rows = pts.withColumn("d", F.lit(float("inf")))
+    kind = pts.schema["id"].dataType.simpleString()
     for _ in range(k - 1):
-        last = F.array(*[F.lit(float(x)) for x in taken[-1]])
-        d = F.aggregate(F.zip_with("features", last, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-        rows = materialize(rows.withColumn("d", F.least("d", d)))
-        top = rows.orderBy(F.desc("d"), "id").limit(1).collect()[0]
+        centroids = np.array(taken, float)
+
+        def run(batches: Iterator[pa.RecordBatch], centroids=centroids) -> Iterator[pa.RecordBatch]:
+            best = None
+            for b in batches:
+                if b.num_rows:
+                    _, d = _nearest(_matrix(b.column(1)), centroids)
+                    ids = b.column(0).to_pylist()
+                    far = min(np.flatnonzero(d == d.max()).tolist(), key=lambda i: ids[i])
+                    if best is None or (-d[far], ids[far]) < (-best[0], best[1]):
+                        best = float(d[far]), ids[far], b.column(1)[far].as_py()
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2]], pa.list_(pa.float64()))], names=["d", "id", "features"])
+
+        top = pts.select("id", "features").mapInArrow(run, f"d double, id {kind}, features array<double>").orderBy(F.desc("d"), "id").limit(1).collect()[0]
         if top["d"] == 0:
-            break  # fewer distinct points than k
+            break
         taken.append(top["features"])
     return np.array(taken, float)
 

@@ -212,7 +212,8 @@ def graph_modularity(s, d):
 
 
 def girvan_newman(s, d):
-    return graph.girvan_newman(_edges(s, d))
+    """On the stronger ties: at least 7 shared businesses."""
+    return graph.girvan_newman(materialize(graph.cooccurrence_edges(_baskets(s, d, 1), 7)))
 
 
 def kmeans_assign(s, d):
