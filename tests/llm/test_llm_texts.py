@@ -10,7 +10,7 @@ import pytest
 
 from millrace.llm.leaks import leaked_items
 from millrace.llm.mixing import TOKENIZER, mix_sources, schedule
-from millrace.llm.reading import FEATURES, Boosted, features, reading_level, train
+from millrace.llm.reading import CONNECTIVES, FEATURES, Boosted, feature_matrix, reading_level, train
 
 RNG = random.Random(7)
 
@@ -145,11 +145,38 @@ def _plain(text):
 
 @pytest.mark.parametrize("text", ["One two. Three!? Four", "It cost $3.50 at 5.30 p.m. today...\n\n- soup\n- 12\nNo end", "", "123 !!", "Crêpes né hmm rhythm. A", "a.b.c. d", "x" * 5000])
 def test_features(text):
-    f = dict(zip(FEATURES, features(text), strict=True))
+    f = dict(zip(FEATURES, feature_matrix([text])[0].tolist(), strict=True))
     assert (f["words"], f["sentences"], f["syllables"]) == (_plain(text) if _plain(text)[0] else (0, 0, 0))
     assert all(np.isfinite(v) for v in f.values())
 
 
+def _slow(text):
+    """The other features, text by text."""
+    sentences = [re.findall(r"[^\W\d_]+", p) for line in re.split(r"\n", text) for p in re.split(r"[.!?]+(?=\s|$)", line)]
+    sentences = [s for s in sentences if s]
+    words = [w for s in sentences for w in s]
+    if not words:
+        return [0.0] * len(FEATURES)
+    n, lengths, lower = len(words), [len(s) for s in sentences], [w.lower() for w in words]
+    syllables = [max(1, len(re.findall(r"[aeiouy]+", w))) for w in lower]
+    by = sorted(map(len, words))
+    sets = [{w.lower() for w in s} for s in sentences]
+    overlap = sum(len(a & b) / min(len(a), len(b)) for a, b in zip(sets, sets[1:], strict=False)) / max(1, len(sets) - 1)
+    return [
+        n, len(lengths), sum(syllables), n / len(lengths), sum(syllables) / n, sum(by) / n, np.quantile(lengths, 0.5), np.quantile(lengths, 0.9), np.std(lengths),
+        by[max(0, -(-n // 2) - 1)], by[max(0, int(np.ceil(0.9 * n)) - 1)], sum(x >= 8 for x in by) / n, sum(x >= 3 for x in syllables) / n, sum(x <= 3 for x in by) / n,
+        len(set(lower)) / n, sum(lower.count(w) == 1 for w in set(lower)) / n, sum(text.count(c) for c in ",;:") / len(lengths),
+        sum(w in CONNECTIVES for w in lower) / n, overlap, sum(c in "0123456789" for c in text) / len(text), sum(w[0].isupper() for w in words) / n,
+    ]
+
+
+def test_feature_matrix_equals_text_by_text():
+    pieces = ["The soup", "because", "Extraordinary deliberation", "ñandú Éclair", "42", ",", ". ", "!? ", "\n", "; ", "we the we", "hmm"]
+    texts = [" ".join(RNG.choice(pieces) for _ in range(RNG.randint(0, 60))) for _ in range(200)] + ["", "...", "\n\n"]
+    assert np.allclose(feature_matrix(texts), np.array([_slow(t) for t in texts]))
+    assert feature_matrix([]).shape == (0, len(FEATURES))
+
+
 def test_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.random((1500, 5))
