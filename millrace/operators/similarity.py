@@ -9,6 +9,10 @@ from millrace.functions.text import clean_id
 from millrace.plans.store import dense_codes, materialize
 
 
+#: Minima aggregated in one row.
+WIDTH = 20
+
+
 def memberships(df: DataFrame, set_id: str, member: str) -> DataFrame:
     """Distinct (id, member) without nulls and blanks, ids trimmed."""
     return df.select(clean_id(set_id).alias("id"), clean_id(member).alias("member")).where("id is not null and member is not null").distinct()
@@ -44,9 +48,14 @@ def minhash_signatures(sets: DataFrame, n: int = 100, b: int = 1301, p: int = 24
     members = dense_codes(sets.select("member").distinct(), "member", "x")
     if m is None:
         m = max(1, sets.select("id").distinct().count())
-    rows = sets.join(members, "member")
-    mins = [F.min(((F.lit(a) * F.col("x") + b) % p) % m).alias(f"h{k}") for k, a in enumerate(coefficients(n, seed))]
-    return rows.groupBy("id").agg(*mins).select("id", F.array(*[f"h{k}" for k in range(n)]).alias("signature"))
+    # WIDTH minima a row, the blocks of the signature as rows: more aggregates than code generation takes in one would be interpreted
+    blocks = -(-n // WIDTH)
+    rows = sets.join(members, "member").select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    factors = F.array(*[F.lit(a).cast("long") for a in coefficients(n, seed)])
+    mins = [F.min(((F.get(factors, F.col("block") * WIDTH + k) * F.col("x") + b) % p) % m).alias(f"h{k}") for k in range(WIDTH)]
+    part = rows.groupBy("id", "block").agg(*mins).select("id", F.struct("block", F.array(*[f"h{k}" for k in range(WIDTH)]).alias("h")).alias("part"))
+    whole = part.groupBy("id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select("id", F.slice(F.flatten(F.transform("parts", lambda r: r["h"])), 1, n).alias("signature"))
 
 
 def lsh_candidates(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
