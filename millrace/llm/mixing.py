@@ -20,6 +20,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Blocks of the whole mix.
 SLOTS = 10_000
+#: Documents of one source that one task puts in order, about.
+BUCKET_ROWS = 500_000
 
 
 def _tokens(path: str):
@@ -120,7 +122,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     quota = spark.createDataFrame(rows, "source string, weight double, max_repeats int, available long, capacity long, target double, take long, slots long, filled long, short boolean")
     where = F.broadcast(spark.createDataFrame(places, "source string, places array<int>"))
 
-    placed = running_total(sized.join(F.broadcast(quota.where("take > 0").select("source", "available", "take", "max_repeats")), "source"), "source", ["doc_id"], "tokens", "_start")
+    buckets = max(256, 1 << (sum(n for _, n in size.values()) // BUCKET_ROWS).bit_length())
+    placed = running_total(sized.join(F.broadcast(quota.where("take > 0").select("source", "available", "take", "max_repeats")), "source"), "source", ["doc_id"], "tokens", "_start", buckets)
     passes = F.when(F.col("_start") < F.col("take"), F.least(F.col("max_repeats").cast("long"), F.expr("(take - _start - 1) div greatest(available, 1L)") + 1))
     used = placed.withColumn("uses", passes).where("uses > 0")
     spot = F.floor(F.col("_start") / F.lit(float(block))).cast("int")
