@@ -129,5 +129,11 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return by.agg(F.count("*").alias("docs"), F.round(F.avg("level"), 3).alias("level"), F.round(F.avg((F.col("level") >= 12).cast("double")), 4).alias("demanding"))
 
 
+def p10_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents and mean absolute error in school years of each source, held out from the training."""
+    _, model = reading_level(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"))
+    return spark.createDataFrame([(s, n, round(e, 3)) for s, (n, e) in model.errors.items()], "source string, labelled long, error double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
