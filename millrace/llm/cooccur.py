@@ -1,7 +1,6 @@
 """Items that appear together: pair counts over baskets and how far they exceed chance."""
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +16,11 @@ RUN = 1 << 21
 BLOCK = 512
 
 
-@lru_cache(64)
-def _upper(m: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(m, 1)
-
-
 def _within(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Packed codes of all pairs within each list, lists of one length at a time."""
     for m in np.unique(sizes[sizes > 1]):
         at = starts[sizes == m]
-        i, j = _upper(int(m)) if m <= 64 else np.triu_indices(int(m), 1)
+        i, j = np.triu_indices(int(m), 1)
         step = max(1, RUN // len(i))
         for k in range(0, len(at), step):
             rows = np.sort(values[at[k : k + step, None] + np.arange(m)], axis=1)

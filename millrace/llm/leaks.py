@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def _search(shared, same_slots: bool):
                         yield ids[of[p]], rows[a + k][0], changed, len(mine) - changed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        t = cloudpickle.loads(shared.value)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             best: dict[tuple[int, int], list[int]] = {}
@@ -181,7 +182,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     found = None
     for k in range(blocks):
         own = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(Templates([(r["i"], r["t"]) for r in own.collect()], window))
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Templates([(r["i"], r["t"]) for r in own.collect()], window)))  # by value: executors need no package
         part = texts.mapInArrow(_search(shared, not reworded), schema)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:  # an item_id with several texts may be in several blocks
