@@ -42,7 +42,7 @@ def jaccard_pairs(sets: DataFrame, at_least: float = 0.05) -> DataFrame:
     return common.withColumn("sim", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("sim") >= at_least).select("a", "b", "sim")
 
 
-def minhash_signatures(sets: DataFrame, n: int = 100, b: int = 1301, p: int = 24593, seed: int = 1301, m: int | None = None) -> DataFrame:
+def minhash_signatures(sets: DataFrame, n: int = 1000, b: int = 1301, p: int = 24593, seed: int = 1301, m: int | None = None) -> DataFrame:
     """id, signature: for each multiplier a the least ((a * x + b) % p) % m over the members' dense numbers x (in word order).
     m: the number of sets, unless given. One exchange; minima combine before it."""
     members = dense_codes(sets.select("member").distinct(), "member", "x")
@@ -67,7 +67,7 @@ def lsh_candidates(signatures: DataFrame, bands: int, rows: int) -> DataFrame:
     return met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def lsh_pairs(sets: DataFrame, bands: int = 50, rows: int = 2, at_least: float = 0.05, b: int = 1301, p: int = 24593, seed: int = 1301) -> DataFrame:
-    """Pairs found by banded MinHash and verified exactly: a, b, sim."""
+def lsh_pairs(sets: DataFrame, bands: int = 500, rows: int = 2, at_least: float = 0.05, b: int = 1301, p: int = 24593, seed: int = 1301) -> DataFrame:
+    """Pairs found by banded MinHash and verified exactly: a, b, sim. A pair of similarity s is found with a chance of about 1 - (1 - s ** rows) ** bands."""
     signatures = materialize(minhash_signatures(sets, bands * rows, b, p, seed))
     return jaccard(lsh_candidates(signatures, bands, rows), sets, at_least)

@@ -136,7 +136,18 @@ def minhash_signatures(s, d):
     return similarity.minhash_signatures(_sets(s, d), 20).select("id", F.array_join("signature", " ").alias("signature"))
 
 
+def minhash_signatures_full(s, d):
+    """The 1000 hashes that lsh_pairs_full cuts into bands."""
+    return similarity.minhash_signatures(_sets(s, d)).select("id", F.array_join("signature", " ").alias("signature"))
+
+
 def lsh_pairs(s, d):
+    """50 bands, as in its SQL; finds few of the pairs near 0.05. The whole job is lsh_pairs_full."""
+    return similarity.lsh_pairs(materialize(_sets(s, d)), 50).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+def lsh_pairs_full(s, d):
+    """500 bands of 2 rows."""
     return similarity.lsh_pairs(materialize(_sets(s, d))).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
@@ -299,7 +310,7 @@ def stream_reservoir(s, d):
 
 _NAMES = """distinct_reviews distinct_users reviews_in_year top_users top_words review_summary category_avg_stars top_categories popular_businesses
 partition_profile partition_profile_hash state_baskets frequent_itemsets_users frequent_itemsets_businesses frequent_itemsets_large candidate_itemsets fp_growth
-jaccard_pairs minhash_signatures lsh_pairs item_model user_model user_model_lsh item_predict user_predict stored_model_predict tfidf_profile tfidf_indexed
+jaccard_pairs minhash_signatures minhash_signatures_full lsh_pairs lsh_pairs_full item_model user_model user_model_lsh item_predict user_predict stored_model_predict tfidf_profile tfidf_indexed
 user_profile content_predict cooccur_graph graph_components graph_communities label_propagation edge_betweenness graph_modularity girvan_newman
 kmeans_assign mahalanobis chunked_labels chunked_rounds nmi bloom_probe fm_estimate top_tags reservoir_sample windowed_distinct stream_windowed_distinct
 stream_bloom_probe stream_reservoir"""

@@ -98,6 +98,14 @@ def test_jaccard_and_lsh(spark, rows):
     assert signatures["a"] == signatures["b"] and len(signatures["d"]) == 30
 
 
+def test_lsh_default_finds_pairs_near_the_threshold(spark):
+    data = [(f"{side}{k:02}", f"{k}-{side if i else ''}{i}") for k in range(60) for side in "xy" for i in range(6)]
+    df = spark.createDataFrame(data, "id string, member string")  # 60 pairs of 1 common member in 11
+    found = {(r["a"], r["b"]) for r in similarity.lsh_pairs(df).collect()}
+    assert len(found & {(f"x{k:02}", f"y{k:02}") for k in range(60)}) >= 54
+    assert len(similarity.minhash_signatures(df).first()["signature"]) == 1000
+
+
 # recommenders
 
 
