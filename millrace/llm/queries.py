@@ -24,12 +24,20 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("business_a"), F.col("item_b").alias("business_b"))
 
 
-def p1_odds(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of at least 6 baskets with their odds ratios."""
-    pairs = cooccurrence(read_table(spark, d, "user_business"), "user_id", "business_id", min_pairs=6)
+def _odds(pairs: DataFrame) -> DataFrame:
     return pairs.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n", F.round("odds_ratio", 4).alias("odds_ratio"), F.round("log_odds", 6).alias("log_odds"))
 
 
+def p1_odds(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of at least 6 baskets with their odds ratios, as in its SQL. All pairs come out of p1_pairs."""
+    return _odds(cooccurrence(read_table(spark, d, "user_business"), "user_id", "business_id", min_pairs=6))
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs that share a basket with their odds ratios."""
+    return _odds(cooccurrence(read_table(spark, d, "user_business"), "user_id", "business_id", min_pairs=1))
+
+
 def _reviews(spark: SparkSession, d: str, *values: str) -> DataFrame:
     review = read_table(spark, d, "review").withColumn("review_id", F.trim("review_id"))
     return latest(review, "review_id", "loaded_at", *values)

@@ -45,6 +45,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_odds": f"""WITH {_BASKET}
             SELECT a AS item_a, pairs.b AS item_b, p.n AS n_a, q.n AS n_b, n_ab, t.n AS n, round({_ODDS}, 4) AS odds_ratio, round(ln({_ODDS}), 6) AS log_odds
             FROM pairs JOIN items p ON p.b = a JOIN items q ON q.b = pairs.b, total t""",
+        "p1_pairs": f"""WITH {_BASKET.replace(" HAVING count(*) >= 6", "")}
+            SELECT a AS item_a, pairs.b AS item_b, p.n AS n_a, q.n AS n_b, n_ab, t.n AS n, round({_ODDS}, 4) AS odds_ratio, round(ln({_ODDS}), 6) AS log_odds
+            FROM pairs JOIN items p ON p.b = a JOIN items q ON q.b = pairs.b, total t""",
         "p2_found": f"WITH {_TERM_COUNTS} SELECT term, mark FROM terms WHERE mark IS NOT NULL",
         "p2_terms": f"WITH {_TERM_COUNTS} SELECT term, uses, records, n, mark FROM terms",
         "p3_found": rf"""

@@ -10,7 +10,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from millrace.llm import cooccur, elite
+from millrace.llm import cooccur, elite, queries
 from millrace.llm.cooccur import cooccurrence
 from millrace.llm.elite import distinctive_terms, fit_two_poisson, most_distinctive
 from millrace.llm.heavy import frequent_values
@@ -34,6 +34,13 @@ def _pairs(data, min_pairs, lift):
     return sorted((a, b, single[a], single[b], c, n) for (a, b), c in both.items() if c >= min_pairs and (not lift or c * n >= lift * single[a] * single[b]))
 
 
+def test_pairs_query_keeps_pairs_of_few_baskets(spark, rows, tmp_path):
+    data = [(f"u{i}", v) for i in range(7) for v in "ab"] + [("u0", "c")]
+    spark.createDataFrame(data, "user_id string, business_id string").write.parquet(str(tmp_path / "user_business.parquet"))
+    got = queries.queries()["p1_pairs"](spark, str(tmp_path))
+    assert rows(got.select("item_a", "item_b", "n_ab")) == [("a", "b", 7), ("a", "c", 1), ("b", "c", 1)]
+
+
 @pytest.mark.parametrize("min_pairs,lift,block", [(1, 0, 512), (3, 0, 512), (3, 2, 512), (3, 0, 5), (2, 0, 4), (1, 0, 4), (5, 1, 7)])
 def test_pairs(spark, rows, min_pairs, lift, block):
     items = [f"i{k}" for k in range(40)]
