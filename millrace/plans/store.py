@@ -64,8 +64,10 @@ def dense_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, version: str, *values: str) -> DataFrame:
-    """One row per key with the values of its row of the greatest version; null keys form one group, as in SQL's GROUP BY."""
-    best = F.max_by(F.struct(*values), version) if len(values) > 1 else F.max_by(values[0], version)
+    """One row per key with the values of its row of the greatest version; null keys form one group, as in SQL's GROUP BY.
+    A null version is older than any other: a key of only such rows keeps one of them."""
+    order = F.struct(F.col(version).isNotNull(), F.col(version))
+    best = F.max_by(F.struct(*values), order) if len(values) > 1 else F.max_by(values[0], order)
     got = df.groupBy(key).agg(best.alias("_v"))
     return got.select(key, "_v.*") if len(values) > 1 else got.withColumnRenamed("_v", values[0])
 
