@@ -242,7 +242,7 @@ def _compress(rest: DataFrame, k: int, d: int) -> tuple[Summary, DataFrame, Data
 def cluster_chunks(chunks: list[DataFrame], k: int, sample: float = 0.2, factor: int = 3, alpha: float = 3.0) -> ChunkedClusters:
     """Clusters points that arrive in chunks, keeping of earlier chunks only summaries and the retained points.
 
-    The first chunk: a hash sample (share `sample`) is clustered by k-means, clusters of one point are set aside and the rest is
+    The first chunk that has points: a hash sample (share `sample`) is clustered by k-means, clusters of one point are set aside and the rest is
     clustered again; these k clusters are the discard set. Every chunk's points go to the nearest discard cluster below
     alpha * sqrt(d) in Mahalanobis distance, else to the nearest compression cluster, else are retained; a chunk is judged by
     the summaries at its start. When more than factor * k points are retained they are clustered into new
@@ -252,16 +252,19 @@ def cluster_chunks(chunks: list[DataFrame], k: int, sample: float = 0.2, factor:
     Empty chunks count as rounds. Every point gets exactly one label.
     """
     chunks = [materialize(c) for c in chunks]
-    first = chunks[0].limit(1).collect()
     spark = chunks[0].sparkSession
+    begin, first = 0, chunks[0].limit(1).collect()
+    while not first and begin < len(chunks) - 1:
+        begin += 1
+        first = chunks[begin].limit(1).collect()
     if not first:
-        return ChunkedClusters(chunks[0].select("id", F.lit(-1).alias("cluster")), [])
+        return ChunkedClusters(chunks[0].select("id", F.lit(-1).alias("cluster")), [(i + 1, 0, 0, 0, 0, 0) for i in range(len(chunks))])
     d = len(first[0]["features"])
     limit = alpha * d**0.5
-    kind = chunks[0].schema["id"].dataType.simpleString()
-    start = chunks[0].where(F.pmod(F.xxhash64("id"), F.lit(1000)) < int(sample * 1000))
+    kind = chunks[begin].schema["id"].dataType.simpleString()
+    start = chunks[begin].where(F.pmod(F.xxhash64("id"), F.lit(1000)) < int(sample * 1000))
     if start.limit(k).count() < k:
-        start = chunks[0]
+        start = chunks[begin]
     start = materialize(start)
     alone = spark.createDataFrame([], f"id {kind}")
     while True:
@@ -278,9 +281,9 @@ def cluster_chunks(chunks: list[DataFrame], k: int, sample: float = 0.2, factor:
     labels = [tagged.select("id", F.element_at(to, F.col("cluster")).alias("cluster"))]
     cs, members = Summary.none(d), spark.createDataFrame([], f"id {kind}, cluster int")
     rest = spark.createDataFrame([], f"id {kind}, features array<double>")
-    rounds = []
-    for number, chunk in enumerate(chunks):
-        if number == 0:
+    rounds = [(i + 1, 0, 0, 0, 0, 0) for i in range(begin)]
+    for number, chunk in enumerate(chunks[begin:], begin):
+        if number == begin:
             chunk = chunk.join(tagged.select("id"), "id", "left_anti")
         placed = materialize(_place(chunk, ds, cs, limit))
         own = placed.where("kind = 0")

@@ -241,7 +241,7 @@ def mahalanobis(s, d):
 
 def _chunked(s, d):
     pts = materialize(_points(s, d))
-    return cluster.cluster_chunks([pts.where(F.col("id") % 5 == k) for k in range(5)], 10)
+    return cluster.cluster_chunks([pts.where(F.pmod(F.col("id"), F.lit(5)) == k) for k in range(5)], 10)
 
 
 def chunked_labels(s, d):

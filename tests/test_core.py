@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import cluster, explore, graph, itemsets, recommend, similarity, sketch
+from millrace.plans import registry
 
 RNG = random.Random(3)
 
@@ -287,6 +288,18 @@ def test_summaries_merge():
     assert m.n.tolist() == [4, 2] and m.sums.sum() == s.sums.sum() and m.squares.sum() == s.squares.sum()
 
 
+def test_empty_chunks_and_negative_ids(spark, rows, tmp_path):
+    x = np.concatenate([np.random.default_rng(k).normal(20 * k, 1.0, (40, 2)) for k in range(2)])
+    pts = _points(spark, x)
+    none = pts.where("false")
+    got = cluster.cluster_chunks([none, pts.where("id % 2 = 0"), none, pts.where("id % 2 = 1")], 2)
+    assert sorted(k for k, _ in rows(got.labels)) == list(range(80))
+    assert [r[0] for r in got.rounds] == [1, 2, 3, 4] and got.rounds[0] == (1, 0, 0, 0, 0, 0) and got.rounds[-1][2] + got.rounds[-1][5] == 80
+    assert [tuple(r) for r in cluster.cluster_chunks([none, none], 2).rounds] == [(1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 0, 0)]
+    pts.select((F.col("id") - 40).alias("vec_id"), F.col("features").alias("embedding")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert sorted(k for k, _ in rows(registry.queries()["chunked_labels"](spark, str(tmp_path)))) == list(range(-40, 40))
+
+
 def test_chunks(spark, rows):
     x = np.concatenate([np.random.default_rng(k).normal(20 * k, 1.0, (100, 2)) for k in range(3)] + [np.array([[500.0, -500.0]])])
     order = np.random.default_rng(9).permutation(len(x))
