@@ -62,7 +62,8 @@ def schedule(weights: list[Fraction], slots: int) -> list[list[int]]:
 
 @dataclass
 class Mix:
-    """uses: (doc_id, source, tokens, uses, first_slot), one row per used document. shares: one row per target source
+    """uses: (doc_id, source, tokens, uses, first_slot, slots, starts), one row per used document; slots and starts have an entry per use:
+    its block, and the token of the source at which it begins, counted through all passes. shares: one row per target source
     (source, weight, available, capacity, target, used, share, slots, filled, short)."""
 
     uses: DataFrame
@@ -126,8 +127,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", tex
     placed = running_total(sized.join(F.broadcast(quota.where("take > 0").select("source", "available", "take", "max_repeats")), "source"), "source", ["doc_id"], "tokens", "_start", buckets)
     passes = F.when(F.col("_start") < F.col("take"), F.least(F.col("max_repeats").cast("long"), F.expr("(take - _start - 1) div greatest(available, 1L)") + 1))
     used = placed.withColumn("uses", passes).where("uses > 0")
-    spot = F.floor(F.col("_start") / F.lit(float(block))).cast("int")
-    used = used.join(where, "source").select("doc_id", "source", "tokens", "uses", F.get("places", F.least(spot, F.size("places") - 1)).alias("first_slot"))
+    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("uses") - 1), lambda i: F.col("_start") + i * F.col("available"))
+    spots = F.transform("starts", lambda x: F.get("places", F.least(F.floor(x / F.lit(float(block))).cast("int"), F.size("places") - 1)))
+    used = used.withColumn("starts", starts).join(where, "source").withColumn("slots", spots)
+    used = used.select("doc_id", "source", "tokens", "uses", F.get("slots", F.lit(0)).alias("first_slot"), "slots", "starts")
     used = materialize(used)
     reached = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"))
     done = sum(r["used"] for r in reached.collect())

@@ -105,7 +105,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_uses(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of the mix, how often each is used, and the block in which it comes first."""
+    """The documents of the mix, how often each is used, and the block and place in its source of every use."""
     return mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")).uses
 
 

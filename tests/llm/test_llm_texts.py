@@ -111,6 +111,18 @@ def test_mix(spark, slots):
     assert abs(sum(r["share"] for r in shares.values()) - 1) < 1e-9
 
 
+def test_mix_places_every_use(spark):
+    docs = spark.createDataFrame([(k, "w " * 10, "a" if k < 10 else "b") for k in range(40)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
+    uses = mix_sources(docs, targets, tokenizer=None, slots=40).uses.collect()
+    plan = dict(zip("ab", schedule([Fraction(1, 2)] * 2, 40), strict=True))
+    for r in uses:
+        assert len(r["slots"]) == len(r["starts"]) == r["uses"] and r["slots"][0] == r["first_slot"]
+        assert r["slots"] == [plan[r["source"]][s // 10] for s in r["starts"]]
+    assert sorted(s for r in uses if r["source"] == "a" for s in r["starts"]) == list(range(0, 200, 10))
+    assert len({s for r in uses for s in r["slots"]}) == 40
+
+
 def test_mix_of_nothing(spark):
     _, df = _docs(spark)
     targets = spark.createDataFrame([("a", 0.5, 1), (None, 0.5, 1)], "source string, weight double, max_repeats int")
