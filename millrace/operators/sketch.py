@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: A token that is a hashtag.
+TAG = "^#[A-Za-z]+$"
+
+
 def bytes_mod(c: Column | str, q: int) -> Column:
     """The value's UTF-8 bytes, read as one big-endian whole number, modulo q. Folded byte by byte, so no big number is made."""
     c = F.col(c) if isinstance(c, str) else c
@@ -74,7 +78,7 @@ def fm_distinct(df: DataFrame, value: str, by: list, groups: int = 9, per_group:
 
 def hashtags(df: DataFrame, text: str) -> DataFrame:
     """Rows with `tag`: one per token of # and ASCII letters only; a tag repeated in a text comes repeatedly."""
-    return df.withColumn("tag", F.explode(F.split(F.trim(text), r"\s+"))).where(F.col("tag").rlike("^#[A-Za-z]+$")).withColumn("tag", F.expr("substring(tag, 2)"))
+    return df.withColumn("tag", F.explode(F.split(F.trim(text), r"\s+"))).where(F.col("tag").rlike(TAG)).withColumn("tag", F.expr("substring(tag, 2)"))
 
 
 def top_tags(tags: DataFrame, ranks: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.sketch import bloom_probe, fm_aggregates, fm_estimate, fm_input, hashtags, reservoir, top_tags
+from millrace.operators.sketch import TAG, bloom_probe, fm_aggregates, fm_estimate, fm_input, hashtags, reservoir, top_tags
 from millrace.plans.store import shared_dir
 
 
@@ -28,7 +28,8 @@ def streaming_bloom(stream: DataFrame, value: str, built: DataFrame, **kind) ->
 class ReservoirSink:
     """A foreachBatch sink that keeps a uniform sample of k rows of everything seen: the least k hash priorities of the sample
     and the batch together. The sample is a table of k rows, written anew each batch under its batch number, so a repeated
-    batch gives the same sample."""
+    batch gives the same sample. A key counts once. Of rows with `tag` (see `tag_stream`) the texts are sampled, with all their tags as
+    `tags`, and each batch reports the top tags of the kept texts; without a column `tags` a text's rows must be of one batch."""
 
     def __init__(self, spark: SparkSession, key: str, k: int = 100, seed: int = 0):
         self.spark, self.key, self.k, self.seed = spark, key, k, seed
@@ -37,20 +38,27 @@ class ReservoirSink:
         self.reports: list[tuple[int, list]] = []
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        tagged = "tag" in batch.columns
+        if tagged and "tags" not in batch.columns:
+            others = [F.first(c).alias(c) for c in batch.columns if c not in (self.key, "tag")]
+            batch = batch.groupBy(self.key).agg(*others, F.collect_list("tag").alias("tags"))
+        batch = batch.drop("tag")
         rows = batch if self.last is None else batch.unionByName(self.spark.read.parquet(self.last))
         at = f"{self.path}/{number}"
         reservoir(rows.select(*batch.columns).dropDuplicates([self.key]), self.key, self.k, self.seed).drop("priority").write.mode("overwrite").parquet(at)
         self.last = at
-        if "tag" in batch.columns:
-            self.reports.append((number, [(r["tag"], r["count"]) for r in top_tags(self.sample()).collect()]))
+        if tagged:
+            tags = self.sample().select(F.explode("tags").alias("tag"))
+            self.reports.append((number, [(r["tag"], r["count"]) for r in top_tags(tags).collect()]))
 
     def sample(self) -> DataFrame:
         return self.spark.read.parquet(self.last)
 
 
 def tag_stream(stream: DataFrame, text: str) -> DataFrame:
-    """The rows that hold a hashtag, one per tag."""
-    return hashtags(stream, text)
+    """The rows that hold a hashtag, one per tag, each with all `tags` of its text."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w.rlike(TAG))
+    return hashtags(stream.withColumn("tags", F.transform(words, lambda w: F.substring(w, 2, 1 << 30))), text)
 
 
 def run_once(stream: DataFrame, sink=None, mode: str = "append") -> DataFrame | None:

@@ -57,3 +57,14 @@ def test_streams_equal_batches(spark, rows, tmp_path):
     assert kept.count() == sum(d[4] == "EN" and "Soup" in d[3] for d in data)
     lines = spark.createDataFrame([('{"city": "Rome"}',), ("broken",)], "value string")
     assert [r["city"] for r in streams.json_field(lines, "city").collect()] == ["Rome", None]
+
+
+def test_reservoir_reports_all_tags_of_its_texts(spark, rows, tmp_path):
+    data = [(1, "#soup and #bread #soup"), (2, "#bread #salt"), (3, "no tag")]
+    spark.createDataFrame(data, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    for columns in (["id", "text", "tag", "tags"], ["id", "text", "tag"]):
+        sink = streaming.ReservoirSink(spark, "id", 20)
+        stream = streaming.tag_stream(streams.table_stream(spark, str(tmp_path), "t"), "text").select(*columns)
+        streaming.run_once(stream, sink)
+        assert rows(sink.sample(), "id") == [(1,), (2,)]
+        assert sink.reports[-1][1] == [("bread", 2), ("soup", 2), ("salt", 1)]
