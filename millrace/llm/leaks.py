@@ -31,15 +31,29 @@ def _starts_sentence(text: str, at: int) -> bool:
     return not before or before[-1] in ".!?\n:"
 
 
+def _typed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lower-cased words of texts, and whether some text of the batch writes the word with a capital inside a sentence."""
+    find = re.compile(PY_TERM)
+    for batch in batches:
+        named: dict[str, bool] = {}
+        for text in batch.column(0).to_pylist():
+            for w in find.finditer(text):
+                k = w.group().lower()
+                named[k] = named.get(k, False) or (_is_capital(text, w.start()) and not _starts_sentence(text, w.start()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(named), pa.string()), pa.array(list(named.values()), pa.bool_())], names=["word", "named"])
+
+
 class Templates:
     """The windows of a block of items, as templates (typed placeholders for numbers, names and units) and as they are written.
 
     The type of a word of the items depends on the lower-cased word alone, so a copy has its template however it is
     written: digits are numbers, UNITS units, words that some item writes with a capital inside a sentence are names. A word
     that no item has is a name if the document writes it with a capital; else no window goes across it.
+
+    words: the words of all items, and whether each is a name, where these items are only a block of them.
     """
 
-    def __init__(self, items: list[tuple[int, str]], window: int):
+    def __init__(self, items: list[tuple[int, str]], window: int, words: dict[str, bool] | None = None):
         find = re.compile(PY_TERM)
         self.window = window
         cut = []
@@ -47,16 +61,20 @@ class Templates:
         for item, text in items:
             found = list(find.finditer(text))
             cut.append((item, [w.group().lower() for w in found]))
-            names |= {w.group().lower() for w in found if _is_capital(text, w.start()) and not _starts_sentence(text, w.start())}
-        vocabulary = sorted({w for _, words in cut for w in words})
+            if words is None:
+                names |= {w.group().lower() for w in found if _is_capital(text, w.start()) and not _starts_sentence(text, w.start())}
+        if words is None:
+            vocabulary = sorted({w for _, own in cut for w in own})
+        else:
+            vocabulary, names = sorted(words), {w for w, named in words.items() if named}
         self.literal = {w: k + FIRST_WORD for k, w in enumerate(vocabulary)}
         self.kind = {w: NUMBER if w.isdigit() else UNIT if w in UNITS else NAME if w in names else c for w, c in self.literal.items()}
         self.lengths: dict[int, tuple] = {}
         by_length: dict[int, list] = {}
-        for item, words in cut:
-            m = min(window, len(words))
-            for k in range(len(words) - m + 1 if m else 0):
-                w = words[k : k + m]
+        for item, own in cut:
+            m = min(window, len(own))
+            for k in range(len(own) - m + 1 if m else 0):
+                w = own[k : k + m]
                 by_length.setdefault(m, []).append((item, tuple(self.literal[x] for x in w), tuple(self.kind[x] for x in w)))
         for m, rows in by_length.items():
             literal = np.array([r[1] for r in rows], np.uint64)
@@ -168,7 +186,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     tells how many slots differ.
 
     The items' windows are what every task holds: at most `block` items a pass, further items in further passes over the
-    documents, so the corpus is never exchanged and its groups never meet. Whole texts are searched.
+    documents, so the corpus is never exchanged and its groups never meet. Whole texts are searched. With reworded=True the words' types
+    come from all items, whatever the block, so the distinct words of all items are held as well.
 
     Null and blank texts give no row; items without a term match nothing; a repeated item_id counts as one item with several
     texts; an empty table on either side gives no rows; other columns are ignored.
@@ -179,12 +198,16 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     schema = "doc_id long, item_id long, windows long, changed long, kept long"
     blocks = max(1, -(-n // block))
+    words = None
+    if reworded and blocks > 1:
+        typed = listed.select("t").mapInArrow(_typed_words, "word string, named boolean")
+        words = {r["word"]: r["named"] for r in typed.groupBy("word").agg(F.max("named").alias("named")).collect()}
     found = None
     for k in range(blocks):
         own = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Templates([(r["i"], r["t"]) for r in own.collect()], window)))  # by value: executors need no package
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(Templates([(r["i"], r["t"]) for r in own.collect()], window, words)))  # by value: executors need no package
         part = texts.mapInArrow(_search(shared, not reworded), schema)
         found = part if found is None else found.unionByName(part)
     if blocks > 1:  # an item_id with several texts may be in several blocks
-        found = found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min(F.struct("changed", "kept")).alias("b")).select("doc_id", "item_id", "windows", "b.changed", "b.kept")
+        found = found.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min(F.struct("changed", (-F.col("kept")).alias("less"))).alias("b")).select("doc_id", "item_id", "windows", "b.changed", (-F.col("b.less")).alias("kept"))
     return found

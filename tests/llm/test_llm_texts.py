@@ -67,6 +67,18 @@ def test_reworded_questions(spark, rows):
     assert set(got) == {1, 4} and got[1]["changed"] == 5 and got[4]["changed"] == 0
 
 
+def test_reworded_does_not_depend_on_blocks(spark, rows):
+    frame = "in the bakery by the mill the baker {} sold {} loaves to guests who came at noon"
+    items = [(k, frame.format(w, k + 10)) for k, w in enumerate(["wendel", "olmo", "tavik", "bruno"])]
+    items += [(k + 50, f"By the river there lived {w.title()} with a dog") for k, w in enumerate(["wendel", "olmo", "tavik", "bruno"])]
+    docs = spark.createDataFrame([(1, frame.format("Sorin", 99)), (2, frame.format("Olmo", 98))], "doc_id long, text string")
+    df = spark.createDataFrame(items, "item_id int, text string")
+    whole = rows(leaked_items(docs, df, reworded=True))
+    assert {(r[0], r[1]) for r in whole} >= {(d, i) for d in (1, 2) for i in range(4)}
+    for block in (1, 2, 3):
+        assert rows(leaked_items(docs, df, reworded=True, block=block)) == whole
+
+
 @pytest.mark.parametrize("weights", [[Fraction(1, 2), Fraction(1, 3), Fraction(1, 6)], [Fraction(3, 25), Fraction(2, 25), Fraction(6, 25), Fraction(4, 25), Fraction(1, 10), Fraction(2, 25), Fraction(7, 50), Fraction(2, 25)], [Fraction(1, 7)], [Fraction(0), Fraction(1)]])
 def test_schedule_is_fair(weights):
     got = schedule(weights, 700)
