@@ -7,97 +7,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.hashing import hash_strings
 from millrace.plans.store import materialize
 
 #: Buckets of the heavy part; each holds one value exactly until it is voted out.
 BUCKETS = 1 << 14
-#: Counters of the light part.
-COUNTERS = 1 << 18
+#: Counters of the light part: as many as fit ROWS_A_COUNTER rows each, within these bounds.
+LEAST_COUNTERS, MOST_COUNTERS, ROWS_A_COUNTER = 1 << 18, 1 << 22, 256
 #: Votes against a bucket's value, as a multiple of its own, that evict it.
 LAMBDA = 8
 
-_SCHEMA = "part int, at int, value string, count long, against long, flag boolean"
+_SCHEMA = "part int, at int, value string, count long"
 
 
 class HeavyLight:
-    """The sketch. Buckets: value, count, votes against, and a flag whether some of the value's uses may be in the light part."""
+    """The sketch. Buckets: value with its light cell, count, votes against. Values are added many at a time: of those that meet
+    another value in their bucket all vote against it, and the most frequent one is its challenger."""
 
     def __init__(self, buckets: int, counters: int):
-        self.values: list[str | None] = [None] * buckets
-        self.count = [0] * buckets
-        self.against = [0] * buckets
-        self.flag = [False] * buckets
+        self.values = np.full(buckets, None, object)
+        self.cells, self.count, self.against = (np.zeros(buckets, np.int64) for _ in range(3))
         self.light = np.zeros(counters, np.int64)
 
-    def add(self, value: str, n: int, at: int, cell: int) -> None:
-        own = self.values[at]
-        if own == value:
-            self.count[at] += n
-        elif own is None:
-            self.values[at], self.count[at] = value, n
-        else:
-            self.against[at] += n
-            if self.against[at] >= LAMBDA * self.count[at]:
-                self.light[self.cell(own)] += self.count[at]
-                self.values[at], self.count[at], self.against[at], self.flag[at] = value, n, 1, True
-            else:
-                self.light[cell] += n
-
-    def cell(self, value: str) -> int:
-        return int(_hash(pa.array([value]))[0] >> 20) % len(self.light)
-
-
-def _hash(values: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string, the same in every process: a polynomial of its UTF-8 bytes, then mixed."""
-    values = values.cast(pa.large_binary())
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
-    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)
-    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
-    out = sizes.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(int(sizes.max(initial=0))):
-            on = sizes > k
-            out[on] = out[on] * np.uint64(0x9E3779B97F4A7C15) + data[starts[on] + k]
-        out ^= out >> np.uint64(32)
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out ^= out >> np.uint64(32)
-    return out
+    def add(self, values: np.ndarray, n: np.ndarray, at: np.ndarray, cell: np.ndarray) -> None:
+        """Distinct values with their uses, buckets and light cells."""
+        own = self.values[at] == values
+        self.count[at[own]] += n[own]
+        rest = np.flatnonzero(~own)
+        if not len(rest):
+            return
+        rest = rest[np.lexsort((-n[rest], at[rest]))]
+        first = np.concatenate(([True], at[rest][1:] != at[rest][:-1]))
+        rival, bucket = rest[first], at[rest][first]
+        votes = np.add.reduceat(n[rest], np.flatnonzero(first))
+        empty = self.values[bucket] == None  # noqa: E711
+        self.against[bucket] += np.where(empty, 0, votes)
+        evicted = ~empty & (self.against[bucket] >= LAMBDA * self.count[bucket])
+        np.add.at(self.light, self.cells[bucket[evicted]], self.count[bucket[evicted]])
+        won = empty | evicted
+        w, r = bucket[won], rival[won]
+        self.values[w], self.cells[w], self.count[w], self.against[w] = values[r], cell[r], n[r], votes[won] - n[r]
+        lit = np.concatenate([rest[~first], rival[~won]])
+        np.add.at(self.light, cell[lit], n[lit])
+
+
+def _places(values: pa.Array, buckets: int, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    h = hash_strings(values)
+    return (h % np.uint64(buckets)).astype(np.int64), ((h >> np.uint64(20)) % np.uint64(counters)).astype(np.int64)
 
 
 def _sketch(buckets: int, counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, any_rows = HeavyLight(buckets, counters), False
+        sketch = HeavyLight(buckets, counters)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            any_rows = True
-            counted = batch.column(0).value_counts()
-            values, counts = counted.field(0), counted.field(1).to_pylist()
-            h = _hash(values)
-            at, cell = (h % np.uint64(buckets)).tolist(), ((h >> np.uint64(20)) % np.uint64(counters)).tolist()
-            for value, n, a, c in zip(values.to_pylist(), counts, at, cell, strict=True):
-                sketch.add(value, n, a, c)
-        if any_rows:
-            used = [k for k, v in enumerate(sketch.values) if v is not None]
-            pick = lambda x: [x[k] for k in used]
-            yield _batch(0, used, pick(sketch.values), pick(sketch.count), pick(sketch.against), pick(sketch.flag))
-            lit = np.flatnonzero(sketch.light)
-            yield _batch(1, lit, [None] * len(lit), sketch.light[lit], np.zeros(len(lit), np.int64), [False] * len(lit))
+            if batch.num_rows:
+                counted = batch.column(0).value_counts()
+                values = counted.field(0)
+                sketch.add(values.to_numpy(zero_copy_only=False), counted.field(1).to_numpy(), *_places(values, buckets, counters))
+        used = np.flatnonzero(sketch.values != None)  # noqa: E711
+        lit = np.flatnonzero(sketch.light)
+        for part, at, values, count in ((0, used, pa.array(sketch.values[used], pa.string()), sketch.count[used]), (1, lit, pa.nulls(len(lit), pa.string()), sketch.light[lit])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int32)), pa.array(at.astype(np.int32)), values, pa.array(count)], names=["part", "at", "value", "count"])
 
     return run
 
 
-def _batch(part, at, values, count, against, flag) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(values, pa.string()), pa.array(count, pa.int64()), pa.array(against, pa.int64()), pa.array(flag, pa.bool_())], names=["part", "at", "value", "count", "against", "flag"])
-
-
-def frequent_values(df: DataFrame, value: str, k: int = 25, buckets: int = BUCKETS, counters: int = COUNTERS) -> DataFrame:
+def frequent_values(df: DataFrame, value: str, k: int = 25, buckets: int = BUCKETS, counters: int | None = None) -> DataFrame:
     """The k most frequent values with exact counts and the sketch's estimates, in bounded memory.
 
     Returns value, estimate, count, pos (1 to k; equal counts in word order). Each task keeps a heavy part (one value a
     bucket, evicted by votes) and a light array of counters for what is evicted. Tasks' parts are recombined bucket by
     bucket: of the values that hold one bucket in different tasks the one with the greatest sum stays and the others'
-    counts go to the light part; light counters add up. What reaches the driver is bounded by buckets + counters.
+    counts go to the light part; light counters add up. What reaches the driver is bounded by buckets + counters (by default
+    a counter for every 256 rows, 2**22 at most).
 
     An exact check follows. A value's heavy count plus its light counter is never below its true count, and the k-th
     greatest heavy count is never above the k-th greatest true count: only values whose upper bound reaches it can be
@@ -107,9 +89,11 @@ def frequent_values(df: DataFrame, value: str, k: int = 25, buckets: int = BUCKE
     """
     spark = df.sparkSession
     rows = materialize(df.select(F.col(value).alias("value")).where(F.col("value").isNotNull()))
+    if counters is None:
+        counters = min(MOST_COUNTERS, max(LEAST_COUNTERS, 1 << (rows.count() // ROWS_A_COUNTER).bit_length()))
     parts = materialize(rows.mapInArrow(_sketch(buckets, counters), _SCHEMA))
-    held = parts.where("part = 0").groupBy("at", "value").agg(F.sum("count").alias("count"), F.bool_or("flag").alias("flag"))
-    heavy = materialize(held.groupBy("at").agg(F.max(F.struct("count", "value")).alias("top"), F.sum("count").alias("all")).select("at", "top.value", "top.count", (F.col("all") - F.col("top.count")).alias("others")))
+    held = parts.where("part = 0").groupBy("at", "value").agg(F.sum("count").alias("count"))
+    heavy = materialize(held.groupBy("at").agg(F.max(F.struct("count", "value")).alias("top")).select("at", "top.value", "top.count"))
     lost = held.join(heavy.select(F.col("at"), F.col("value").alias("kept")), "at").where(F.col("value") != F.col("kept")).select("value", "count")
     light = np.zeros(counters, np.int64)
     cells = parts.where("part = 1").groupBy("at").agg(F.sum("count").alias("n")).toArrow()
@@ -117,7 +101,7 @@ def frequent_values(df: DataFrame, value: str, k: int = 25, buckets: int = BUCKE
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = ((_hash(b.column(0)) >> np.uint64(20)) % np.uint64(counters)).astype(np.int64)
+            _, cell = _places(b.column(0), buckets, counters)
             yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(1)], names=["cell", "n"])
 
     cells = lost.mapInArrow(place, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -125,7 +109,7 @@ def frequent_values(df: DataFrame, value: str, k: int = 25, buckets: int = BUCKE
     top = heavy.orderBy(F.desc("count"), "value").limit(k).collect()
     floor = top[-1]["count"] if len(top) == k else 0
     kept = {r["at"]: (r["value"], r["count"]) for r in heavy.select("at", "value", "count").collect()}
-    values = [kept.get(a, (None, 0))[0] for a in range(buckets)]
+    values = np.array([kept.get(a, (None, 0))[0] for a in range(buckets)], object)
     counts = np.array([kept.get(a, (None, 0))[1] for a in range(buckets)], np.int64)
     shared = spark.sparkContext.broadcast((light, values, counts))
 
@@ -136,11 +120,8 @@ def frequent_values(df: DataFrame, value: str, k: int = 25, buckets: int = BUCKE
                 continue
             counted = b.column(0).value_counts()
             found, n = counted.field(0), counted.field(1)
-            h = _hash(found)
-            at = (h % np.uint64(buckets)).astype(np.int64)
-            upper = light[((h >> np.uint64(20)) % np.uint64(counters)).astype(np.int64)]
-            own = np.array([values[a] == v for a, v in zip(at.tolist(), found.to_pylist(), strict=True)], bool)
-            upper = upper + np.where(own, counts[at], 0)
+            at, cell = _places(found, buckets, counters)
+            upper = light[cell] + np.where(values[at] == found.to_numpy(zero_copy_only=False), counts[at], 0)
             on = pa.array(upper >= floor)
             yield pa.RecordBatch.from_arrays([found.filter(on), pa.array(upper).filter(on), n.filter(on)], names=["value", "estimate", "n"])
 

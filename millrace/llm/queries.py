@@ -2,20 +2,22 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_id, has_text
 from millrace.llm.cooccur import cooccurrence
 from millrace.llm.elite import distinctive_terms, most_distinctive
 from millrace.llm.heavy import frequent_values
-from millrace.llm.leaks import leaked_items
-from millrace.llm.mixing import mix_sources
-from millrace.llm.reading import reading_level
+from millrace.llm.leaks import leaked_items, reparameterised
+from millrace.llm.mixing import Mix, deviations, mix_sources
+from millrace.llm.reading import floor_for, reading_level
 from millrace.llm.simjoin import similar_sets
 from millrace.llm.termfreq import term_frequency
 from millrace.llm.topn import top_n
-from millrace.plans.store import latest
+from millrace.plans.store import latest, materialize
 from millrace.sources import read_table
 
 
@@ -58,8 +60,10 @@ def _train(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Terms that their business more likely is about than not (posterior of the elite component), then checked: the highest tf * log2(N / df) of
+    the business, tf >= 4 and df <= 5."""
     best = most_distinctive(distinctive_terms(_train(spark, d), "business_id", "text", read_table(spark, d, "stopwords")))
-    return best.where("tf >= 4 and df <= 5").select(F.col("record").alias("business_id"), "term")
+    return best.where("elite >= 0.5").where("tf >= 4 and df <= 5").select(F.col("record").alias("business_id"), "term")
 
 
 def p3_elite(spark: SparkSession, d: str) -> DataFrame:
@@ -99,31 +103,70 @@ def p8_reworded(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"), reworded=True).where("changed > 0")
 
 
+def p8_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many re-parameterised questions are found: every document with a text gets one of the items at its end, with other figures and
+    names put in. One row: planted, and whether 0.9 of them or more are found in their document."""
+    items = read_table(spark, d, "eval_items")
+    other = reparameterised(items).withColumn("k", F.row_number().over(W.orderBy("item_id")) - 1)  # the fixed 120 items
+    docs = read_table(spark, d, "documents").where("doc_id is not null and text is not null").withColumn("k", F.pmod("doc_id", F.lit(max(1, other.count()))).cast("int"))
+    planted = materialize(docs.join(F.broadcast(other.select("k", "item_id", F.col("text").alias("passage"))), "k").select("doc_id", "item_id", F.concat("text", F.lit(".\n"), "passage").alias("text")))
+    found = leaked_items(planted.select("doc_id", "text"), items, reworded=True).select("doc_id", "item_id", F.lit(1).alias("hit"))
+    return planted.join(found, ["doc_id", "item_id"], "left").agg(F.count("*").alias("planted"), (F.count("hit") >= 0.9 * F.count("*")).alias("found_most"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with blocks of the schedule that their placed documents can't fill."""
     mix = mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
-    return mix.shares.where("short").select("source")
+    return mix.shares.where("missed > 0").select("source")
 
 
-def p9_uses(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of the mix, how often each is used, and the block and place in its source of every use."""
+def p9_token_uses(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix in tokens, how often each is used, and the block and place in its source of every use."""
     return mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")).uses
 
 
+def _words_mix(spark: SparkSession, d: str) -> Mix:
+    return mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"), tokenizer=None)
+
+
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix in words, which SQL can count too: uses of each and the place in its source of every use."""
+    return _words_mix(spark, d).uses.select("doc_id", "source", "tokens", "uses", F.array_join(F.transform("starts", lambda x: x.cast("string")), " ").alias("starts"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Target and actual share of each source."""
-    shares = mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets")).shares
-    return shares.withColumn("share", F.round("share", 6))
+    """Target and actual share of each source, in words, and its blocks."""
+    return _words_mix(spark, d).shares.withColumn("share", F.round("share", 6)).select("source", "max_repeats", "available", "used", "share", "blocks", "filled", "missed", "short")
+
+
+def p9_deviation(spark: SparkSession, d: str) -> DataFrame:
+    """Uses of each source, and whether no block of it is further from its weight than a block and a document."""
+    mix = _words_mix(spark, d)
+    return deviations(mix).select("source", "uses", (F.col("worst") < mix.block + F.col("longest")).alias("fair"))
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     return reading_level(read_table(spark, d, "documents").where("text is not null"), read_table(spark, d, "reading_labels"))[0]
 
 
+def _grade(words, sentences, syllables):
+    return 0.39 * words / sentences + 11.8 * syllables / words - 15.59
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the trees place high enough, or that are unlike all they were trained on; then the exact formula decides. The
+    level that is high enough lies below 12 by twice the greatest shortfall that cross-validation shows (see `floor_for`)."""
     docs = read_table(spark, d, "documents").where("lower(lang) = 'en'")
-    levels, _ = reading_level(docs, read_table(spark, d, "reading_labels"))
-    grade = 0.39 * F.col("words") / F.col("sentences") + 11.8 * F.col("syllables") / F.col("words") - 15.59
-    return levels.where("words >= 30").where(grade >= 12).select("doc_id")
+    levels, model = reading_level(docs, read_table(spark, d, "reading_labels"))
+    words, sentences, syllables = (model.sample[:, k] for k in range(3))
+    floor = floor_for(model, np.where(words >= 30, _grade(np.maximum(words, 1), np.maximum(sentences, 1), syllables), 0.0), 12.0)
+    high = levels.where((F.col("level") >= floor) | F.col("strange"))
+    return high.where("words >= 30").where(_grade(F.col("words"), F.col("sentences"), F.col("syllables")) >= 12).select("doc_id")
+
+
+def p10_features(spark: SparkSession, d: str) -> DataFrame:
+    """The counts behind the level of every document, whatever its language."""
+    return _levels(spark, d).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("words", "sentences", "syllables")))
 
 
 def p10_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -138,10 +181,20 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents and mean absolute error in school years of each source, held out from the training."""
+    """Labelled documents and mean absolute error in school years of each source, judged by a model that saw nothing of it."""
     _, model = reading_level(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"))
     return spark.createDataFrame([(s, n, round(e, 3)) for s, (n, e) in model.errors.items()], "source string, labelled long, error double")
 
 
+def p10_skill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: labelled documents, and whether the held-out error over all of them is less than 0.7 of that of the median label as everyone's level (not asked of fewer than 20)."""
+    documents, labels = read_table(spark, d, "documents"), read_table(spark, d, "reading_labels")
+    _, model = reading_level(documents, labels)
+    own = labels.where("school_year is not null").groupBy("doc_id").agg(F.median("school_year").alias("y")).join(documents.where("text is not null").select("doc_id"), "doc_id")
+    median = own.agg(F.median("y").alias("m"))
+    plain = own.crossJoin(F.broadcast(median)).agg(F.count("*").alias("labelled"), F.sum(F.abs(F.col("y") - F.col("m"))).alias("plain"))  # one row each
+    return plain.select("labelled", ((F.lit(float(sum(n * e for n, e in model.errors.values()))) < 0.7 * F.col("plain")) | (F.col("labelled") < 20)).alias("better"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}

@@ -8,14 +8,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_id
-from millrace.plans.store import materialize
+from millrace.plans.store import BLOCK, dense_codes, materialize, meet
 
 #: Largest set whose token subsets are enumerated; larger sets are looked up in inverted lists.
 SMALL = 24
-#: A token in more than this share of all rows is put last in the token order; so there are at most 1 / HOT of them.
-HOT = 0.001
 #: Buckets of the token order for the prefixes of large sets.
-BUCKETS = 256
+BUCKETS = 1024
 
 
 @dataclass
@@ -29,8 +27,8 @@ class SimilarSets:
     def expanded(self) -> DataFrame:
         """All pairs (a, b, common, total) of records, a < b, those of equal sets included; total is the size of the union."""
         m = self.members
-        same = m.alias("x").join(m.alias("y"), (F.col("x.rep") == F.col("y.rep")) & (F.col("x.id") < F.col("y.id")))
-        same = same.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.size").alias("common"), F.col("x.size").alias("total"))
+        same = meet(m, ["rep"], "id")
+        same = same.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.size").alias("common"), F.col("l.size").alias("total"))
         other = self.pairs.join(m.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(m.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
         other = other.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "common", (F.col("size_a") + F.col("size_b") - F.col("common")).alias("total"))
         return same.unionByName(other)
@@ -44,18 +42,28 @@ class SimilarSets:
         return got.select("id", "rep", "size", (F.col("c") - 1).alias("copies"), (F.col("c") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
 
 
-def similar_sets(df: DataFrame, id: str, token: str, similarity: float | Fraction = Fraction(1, 2), min_size: int = 3, small_size: int = SMALL) -> SimilarSets:
+def _subsets(tokens: str, c: int, packed: bool):
+    """Keys of all subsets of c tokens of an ordered array."""
+    if c == 2 and packed:
+        return F.flatten(F.transform(tokens, lambda x, i: F.transform(F.slice(tokens, i + 2, F.size(tokens)), lambda y: F.shiftleft(x, 32).bitwiseOR(y))))
+    level = F.transform(tokens, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h")))
+    for _ in range(c - 1):
+        level = F.flatten(F.transform(level, lambda s: F.transform(F.slice(tokens, s["i"] + 2, F.size(tokens)), lambda y, j: F.struct((s["i"] + 1 + j).alias("i"), F.xxhash64(s["h"], y).alias("h")))))
+    return F.transform(level, lambda s: s["h"])
+
+
+def similar_sets(df: DataFrame, id: str, token: str, similarity: float | Fraction = Fraction(1, 2), min_size: int = 3, small_size: int = SMALL, subset: int = 2, block: int = BLOCK) -> SimilarSets:
     """Finds all pairs of records whose token sets have a Jaccard similarity of at least `similarity`, both sets holding at least min_size tokens.
 
     Records with equal sets become one class first (equal in size and in two 64-bit hashes of the set), so a large group
-    of copies costs one record. Then:
-    - two small sets (up to small_size tokens) of the pair: each set enumerates its token subsets of the threshold's size c
-      (2, or 1 where the similarity allows an overlap of 1) within the prefix of its token order that must hold c common
-      tokens (size - overlap + c); sets meet by subset;
+    of copies costs one record. Tokens get numbers in the order of their frequency, rare ones first. Then:
+    - two small sets (up to small_size tokens) of the pair: each set enumerates its subsets of c tokens (`subset`, or fewer where
+      the similarity lets the least sets have a smaller overlap) within the prefix of its token order that must hold c
+      common tokens (size - overlap + c); sets meet by subset;
     - at least one large set: the large set's prefix tokens are looked up in inverted lists of the sets that are large
       enough to be its partners (at least similarity * small_size tokens), then all common tokens are counted.
-    Both are united, and whole sets are compared. Hot tokens (in more than a thousandth of the rows, so 1,000 at most) come last
-    in the token order and thus in hardly any prefix.
+    Both are united, and whole sets are compared. Frequent tokens come last and thus in few prefixes; where more than `block` sets
+    share one that does (or a subset), they meet block by block.
 
     Null and blank ids and tokens don't count, ids are trimmed, repeated rows count once; other columns are ignored; an
     empty table gives no pairs.
@@ -67,46 +75,51 @@ def similar_sets(df: DataFrame, id: str, token: str, similarity: float | Fractio
     sizes = rows.groupBy("id").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("h1"), F.bit_xor(F.xxhash64("token", F.lit(2))).alias("h2"))
     sizes = materialize(sizes.where(F.col("size") >= min_size))
     classes = sizes.groupBy("size", "h1", "h2").agg(F.min("id").alias("rep"))
-    members = materialize(sizes.join(classes, ["size", "h1", "h2"]).select("id", "rep", "size"))
-
-    n_rows = rows.count()
-    hot = rows.groupBy("token").agg(F.count("*").alias("f")).where(F.col("f") > n_rows * HOT)  # fewer than 1 / HOT rows
-    reps = members.where("id = rep").select("id", "size")
-    tokens = rows.join(reps, "id").join(F.broadcast(hot), "token", "left").select("id", "size", "token", F.coalesce("f", F.lit(0)).alias("f"))
-    tokens = materialize(tokens)
+    members = materialize(sizes.join(classes, ["size", "h1", "h2"]).select("id", "rep", "size", F.monotonically_increasing_id().alias("k")))
+    reps = members.where("id = rep").select("id", "k", "size")
+    codes = dense_codes(rows.groupBy("token").agg(F.count("*").alias("f")), ["f", "token"])
+    facts = codes.agg(F.count("*").alias("n"), F.max("f").alias("f")).first()
+    n, hot = max(1, facts["n"]), (facts["f"] or 0) > block
+    tokens = materialize(rows.join(reps, "id").join(codes.select("token", "code"), "token").select("k", "size", "code"))
 
     overlap = F.ceil(F.col("size") * num / F.lit(den)).cast("int")  # with any partner
-    c = 2 if 2 * min_size * sim / (1 + sim) > 1 else 1
+    least = 2 * min_size * sim / (1 + sim)
+    c = max(1, min(subset, -(-least.numerator // least.denominator)))
     prefix = F.col("size") - F.greatest(overlap, F.lit(c)) + c
     fits = lambda a, b: (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
     enough = F.col("common") * den >= (F.col("size_a") + F.col("size_b") - F.col("common")) * num
+    pairs = lambda met: met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
 
     # small with small
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", F.xxhash64("token").alias("h"), "token"))), lambda x: x["token"])
-    sets = materialize(tokens.where(F.col("size") <= small_size).groupBy("id", "size").agg(ordered.alias("tokens")))
-    head = sets.select("id", "size", F.slice("tokens", 1, prefix.cast("int")).alias("p"))
-    if c == 2:
-        keys = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(x, y))))
+    sets = materialize(tokens.where(F.col("size") <= small_size).groupBy("k", "size").agg(F.array_sort(F.collect_list("code")).alias("tokens")))
+    keyed = sets.select("k", "size", F.slice("tokens", 1, prefix.cast("int")).alias("p")).select("k", "size", F.explode(_subsets("p", c, n < 1 << 31)).alias("key"))
+    if hot:
+        near = pairs(meet(materialize(keyed), ["key"], "k", block, fits("l.size", "r.size")))
     else:
-        keys = F.transform("p", lambda x: F.xxhash64(x))
-    keyed = head.select("id", "size", F.explode(keys).alias("key"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits("x.size", "y.size"))
-    near = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        near = pairs(keyed.alias("l").join(keyed.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.k") < F.col("r.k")) & fits("l.size", "r.size")))
     for side in "ab":
-        near = near.join(sets.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("tokens").alias(f"t{side}")), side)
+        near = near.join(sets.select(F.col("k").alias(side), F.col("size").alias(f"size_{side}"), F.col("tokens").alias(f"t{side}")), side)
     near = near.withColumn("common", F.size(F.array_intersect("ta", "tb")).cast("long")).where(enough).select("a", "b", "size_a", "size_b", "common")
 
     # at least one large
-    long = tokens.where(F.col("size") * den >= F.lit(small_size * num)).withColumn("k", F.when(F.col("f") > 0, BUCKETS).otherwise(F.pmod(F.xxhash64("token"), F.lit(BUCKETS))).cast("int"))
-    upto = long.groupBy("id", "size", "k").agg(F.count("*").alias("m"))
-    upto = upto.withColumn("before", F.sum("m").over(W.partitionBy("id").orderBy("k")) - F.col("m")).where(F.col("before") < F.col("size") - overlap + 1)
-    upto = upto.groupBy("id").agg(F.max("k").alias("last"))
-    listed = long.join(upto, "id").where(F.col("k") <= F.col("last")).select("id", "size", "token")
-    x, y = listed.where(F.col("size") > small_size).alias("x"), listed.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") != F.col("y.id")) & fits("x.size", "y.size"))
-    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    side = lambda s: long.select(F.col("id").alias(s), F.col("token"), F.col("size").alias(f"size_{s}"))
-    far = met.join(side("a"), "a").join(side("b"), ["b", "token"]).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("common"))
-    far = far.where(enough).select("a", "b", "size_a", "size_b", "common")
-    return SimilarSets(materialize(near.unionByName(far)), members)
+    long = tokens.where(F.col("size") * den >= F.lit(small_size * num)).withColumn("q", F.floor(F.col("code") * BUCKETS / n).cast("int"))
+    upto = long.groupBy("k", "size", "q").agg(F.count("*").alias("m"))
+    upto = upto.withColumn("before", F.sum("m").over(W.partitionBy("k").orderBy("q")) - F.col("m")).where(F.col("before") < F.col("size") - overlap + 1)
+    upto = upto.groupBy("k").agg(F.max("q").alias("last"))
+    listed = long.join(upto, "k").where(F.col("q") <= F.col("last")).select("k", "size", "code")
+    large = lambda x: F.col(x) > small_size
+    if hot:
+        far = meet(materialize(listed), ["code"], "k", block, fits("l.size", "r.size") & (large("l.size") | large("r.size")))
+        far = far.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
+    else:
+        far = listed.where(large("size")).alias("l").join(listed.alias("r"), (F.col("l.code") == F.col("r.code")) & (F.col("l.k") != F.col("r.k")) & fits("l.size", "r.size"))
+        far = far.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b")).distinct()
+    side = lambda s: long.select(F.col("k").alias(s), "code", F.col("size").alias(f"size_{s}"))
+    far = far.join(side("a"), "a").join(side("b"), ["b", "code"]).groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("common"))
+    found = near.unionByName(far.where(enough).select("a", "b", "size_a", "size_b", "common"))
+    for s in "ab":
+        found = found.join(reps.select(F.col("k").alias(s), F.col("id").alias(f"id_{s}")), s)
+    first = F.col("id_a") < F.col("id_b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    found = found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), pick("size_a", "size_b").alias("size_a"), pick("size_b", "size_a").alias("size_b"), "common")
+    return SimilarSets(materialize(found), members.select("id", "rep", "size"))

@@ -74,25 +74,25 @@ def test_burst_trie():
     trie, want = BurstTrie(burst=8), Counter(words)
     for w in words:
         trie.add(w, 1, 2)
-    got = {p + r: c for p, leaf in trie.subtrees() for r, c in leaf.items()}
-    assert {w: c[0] for w, c in got.items()} == want and all(c[1] == 2 * c[0] for c in got.values())
-    assert trie.size == len(want) and all(len(leaf) <= 8 for _, leaf in trie.subtrees())
+    got = {p + r: at for p, leaf in trie.subtrees() if leaf for r, at in leaf.items()}
+    assert {w: trie.uses[at] for w, at in got.items()} == want and all(trie.records[at] == 2 * trie.uses[at] for at in got.values())
+    assert trie.size == len(want) and all(len(leaf) <= 8 for _, leaf in trie.subtrees() if leaf)
     assert [p for p, _ in trie.subtrees()] == sorted(p for p, _ in trie.subtrees())
 
 
 def _terms(text):
-    return re.findall(r"[^\W_]+", text.lower())
+    return re.findall(r"(?:(?![\u00b2\u00bc\u00bd])[^\W_])+", text.lower())
 
 
-@pytest.mark.parametrize("burst,hold", [(4096, 500_000), (3, 10)])
-def test_term_frequency(spark, rows, burst, hold):
+@pytest.mark.parametrize("burst,hold,meet", [(4096, 500_000, 1_000_000), (3, 10, 1_000_000), (3, 10, 5), (50, 40, 12)])
+def test_term_frequency(spark, rows, burst, hold, meet):
     texts = [" ".join(RNG.choice(["the", "The", "cat", "Ñandú", "x1", "42", "a_b", "über-cool", f"w{k}"]) for _ in range(RNG.randint(0, 30))) for k in range(120)]
-    texts += [None, "", "  \n", "!!!", "the " * 20_000, "the cat"] * 2
+    texts += [None, "", "  \n", "!!!", "the " * 20_000, "the cat", "10\u00b2 \u00bd \u00c3\u00bcber"] * 2
     counted = [_terms(t) for t in texts if t and t.strip()]
     uses, held, n = Counter(w for t in counted for w in t), Counter(w for t in counted for w in set(t)), len(counted)
     mark = lambda w: "rare" if held[w] <= 2 else "common" if held[w] * 100 > 32 * n else None
     df = spark.createDataFrame([(t, "y", 3) for t in texts], "t string, term string, records int").repartition(5)
-    assert rows(term_frequency(df, "t", burst=burst, hold=hold)) == sorted([(w, uses[w], held[w], n, mark(w)) for w in uses], key=repr)
+    assert rows(term_frequency(df, "t", burst=burst, hold=hold, meet=meet)) == sorted([(w, uses[w], held[w], n, mark(w)) for w in uses], key=repr)
 
 
 def test_term_frequency_empty(spark):
@@ -122,6 +122,24 @@ def test_distinctive_terms(spark, rows):
     assert distinctive_terms(df.where("false"), "b", "t").count() == 0
 
 
+def test_posterior_tells_the_elite_records():
+    """Records known to be about a term, among others that mention it: the posterior ranks them (area under the curve 0.9 or more)
+    over many terms of different rates and shares."""
+    rng = np.random.default_rng(5)
+    areas, recalls = [], []
+    for _ in range(40):
+        n, share, high, low = 4000, rng.uniform(0.01, 0.2), rng.uniform(4, 9), rng.uniform(0.05, 0.6)
+        elite = rng.random(n) < share
+        counts = np.where(elite, rng.poisson(high, n), rng.poisson(low, n))
+        values, freq = np.unique(counts[counts > 0], return_counts=True)
+        a, b, s = fit_two_poisson(values.astype(float), freq.astype(float), np.zeros(len(values), int), 1, n, 40)
+        odds = np.log(s / (1 - s)) - (b - a) + counts * (np.log(b) - np.log(a))
+        ranks = np.argsort(np.argsort(odds + rng.random(n) * 1e-9)) + 1.0
+        areas.append((ranks[elite].sum() - elite.sum() * (elite.sum() + 1) / 2) / (elite.sum() * (~elite).sum()))
+        recalls.append((odds[elite] > 0).mean())
+    assert np.mean(recalls) > 0.9 and np.mean(areas) > 0.95 and min(areas) > 0.9
+
+
 def test_two_poisson_finds_the_elite():
     """Counts drawn from a known mixture: the rates come out, and the posterior rises with the count."""
     rng = np.random.default_rng(3)
@@ -143,8 +161,8 @@ def _similar(data, sim, least):
     return sets, sorted((a, b) for a, b in combinations(sorted(sets), 2) if Fraction(len(sets[a] & sets[b]), len(sets[a] | sets[b])) >= sim)
 
 
-@pytest.mark.parametrize("sim,least,small", [(Fraction(1, 2), 3, 24), (Fraction(1, 2), 3, 4), (Fraction(4, 5), 1, 6), (Fraction(1, 4), 1, 5), (Fraction(1, 3), 2, 3)])
-def test_similar_sets(spark, rows, sim, least, small):
+@pytest.mark.parametrize("sim,least,small,how", [(Fraction(1, 2), 3, 24, {}), (Fraction(1, 2), 3, 4, {"block": 5}), (Fraction(4, 5), 4, 6, {"subset": 3}), (Fraction(1, 4), 1, 5, {}), (Fraction(1, 3), 2, 3, {"block": 7})])
+def test_similar_sets(spark, rows, sim, least, small, how):
     users = [f"u{k}" for k in range(60)]
     data = []
     for k in range(60):
@@ -156,7 +174,7 @@ def test_similar_sets(spark, rows, sim, least, small):
     data += [(f"b{k}_0", "everywhere") for k in range(60)] + [(None, "u1"), ("b1_0", None), ("", "u1"), (" b1_0 ", " u1"), ("b1_0", " ")]
     sets, want = _similar(data, sim, least)
     df = spark.createDataFrame([(b, u, 1, 2) for b, u in data + data[:50]], "b string, u string, size int, rep int").repartition(3)
-    found = similar_sets(df, "b", "u", sim, least, small)
+    found = similar_sets(df, "b", "u", sim, least, small, **how)
     assert rows(found.expanded(), "a", "b") == want
     links = Counter(x for p in want for x in p)
     got = {r["id"]: r for r in found.links().collect()}

@@ -7,16 +7,17 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm.leaks import leaked_items
-from millrace.llm.mixing import TOKENIZER, mix_sources, schedule
-from millrace.llm.reading import CONNECTIVES, FEATURES, Boosted, feature_matrix, reading_level, train
+from millrace.llm.mixing import TOKENIZER, deviations, mix_sources, schedule
+from millrace.llm.reading import CONNECTIVES, FEATURES, Boosted, _isotonic, feature_matrix, floor_for, reading_level, train
 
 RNG = random.Random(7)
 
 
 def _terms(text):
-    return re.findall(r"[^\W_]+", text.lower())
+    return re.findall(r"(?:(?![\u00b2\u00bc\u00bd])[^\W_])+", text.lower())
 
 
 def _leaks(docs, items, window):
@@ -31,9 +32,9 @@ def _leaks(docs, items, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_leaks(spark, rows, block):
-    vocabulary = ["the", "cook", "served", "4", "17", "minutes", "Tholmar", "Vexby", "soup", "to", "guests", "and", "left", "Norton's"]
+@pytest.mark.parametrize("how", [{}, {"sent": 0}, {"most_bits": 1 << 10}])
+def test_leaks(spark, rows, how):
+    vocabulary = ["the", "cook", "served", "4", "17", "minutes", "Tholmar", "Vexby", "soup\u00b2", "\u0130z", "to", "guests", "and", "left", "Norton's"]
     text = lambda n: " ".join(RNG.choice(vocabulary) for _ in range(n))
     items = [(k, text(RNG.choice([2, 5, 13, 20, 40]))) for k in range(12)] + [(50, None), (51, ""), (52, "!?"), (53, "soup"), (1, text(20))]
     docs = []
@@ -46,7 +47,7 @@ def test_leaks(spark, rows, block):
     want = _leaks([d for d in docs if d[0] is not None], items, 13)
     a = spark.createDataFrame([(*d, 1, "z") for d in docs], "doc_id long, text string, item_id int, windows string").repartition(3)
     b = spark.createDataFrame([(*i, 5) for i in items], "item_id int, text string, doc_id int")
-    assert rows(leaked_items(a, b, block=block), "doc_id", "item_id") == sorted(set(want), key=repr) and want
+    assert rows(leaked_items(a, b, **how), "doc_id", "item_id") == sorted(set(want), key=repr) and want
 
 
 def test_no_leaks_without_rows(spark):
@@ -67,7 +68,8 @@ def test_reworded_questions(spark, rows):
     assert set(got) == {1, 4} and got[1]["changed"] == 5 and got[4]["changed"] == 0
 
 
-def test_reworded_does_not_depend_on_blocks(spark, rows):
+def test_reworded_does_not_depend_on_other_items(spark, rows):
+    """A word that only another item writes as a name is a name for all of them."""
     frame = "in the bakery by the mill the baker {} sold {} loaves to guests who came at noon"
     items = [(k, frame.format(w, k + 10)) for k, w in enumerate(["wendel", "olmo", "tavik", "bruno"])]
     items += [(k + 50, f"By the river there lived {w.title()} with a dog") for k, w in enumerate(["wendel", "olmo", "tavik", "bruno"])]
@@ -75,8 +77,16 @@ def test_reworded_does_not_depend_on_blocks(spark, rows):
     df = spark.createDataFrame(items, "item_id int, text string")
     whole = rows(leaked_items(docs, df, reworded=True))
     assert {(r[0], r[1]) for r in whole} >= {(d, i) for d in (1, 2) for i in range(4)}
-    for block in (1, 2, 3):
-        assert rows(leaked_items(docs, df, reworded=True, block=block)) == whole
+    assert rows(leaked_items(docs, df.repartition(5), reworded=True, sent=0)) == whole
+
+
+def test_units_are_learned_and_numbers_may_be_words(spark):
+    item = "The cellar of the old inn holds 14 firkins and 30 firkins of ale for the twelve guests who stay there"
+    doc = "the cellar of the old inn holds 15 firkins and 31 firkins of ale for the eleven guests who stay there"
+    other = "the cellar of the old inn holds 15 hogsheads and 31 hogsheads of ale for the eleven guests who stay there"
+    docs = spark.createDataFrame([(1, doc), (2, other), (3, other.replace("hogsheads", "liters"))], "doc_id long, text string")
+    got = leaked_items(docs, spark.createDataFrame([(1, item)], "item_id int, text string"), reworded=True, window=19).collect()
+    assert {r["doc_id"] for r in got} == {1, 3}
 
 
 @pytest.mark.parametrize("weights", [[Fraction(1, 2), Fraction(1, 3), Fraction(1, 6)], [Fraction(3, 25), Fraction(2, 25), Fraction(6, 25), Fraction(4, 25), Fraction(1, 10), Fraction(2, 25), Fraction(7, 50), Fraction(2, 25)], [Fraction(1, 7)], [Fraction(0), Fraction(1)]])
@@ -97,11 +107,11 @@ def _docs(spark):
     return data, spark.createDataFrame([(*d, 1, 0.5) for d in data], "doc_id long, text string, source string, tokens int, weight double").repartition(4)
 
 
-@pytest.mark.parametrize("slots", [10_000, 50])
-def test_mix(spark, slots):
+@pytest.mark.parametrize("block", [None, 1, 300])
+def test_mix(spark, block):
     data, df = _docs(spark)
     targets = spark.createDataFrame([("A", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 3), ("missing", 0.1, 2)], "source string, weight double, max_repeats int")
-    mix = mix_sources(df, targets, tokenizer=None, slots=slots)
+    mix = mix_sources(df, targets, tokenizer=None, block=block)
     size: dict = {}
     for _, t, s in data:
         if t is not None and s and s.strip():
@@ -121,12 +131,31 @@ def test_mix(spark, slots):
             assert w * total <= used + 1 and used < w * total + 1 + max(r["tokens"] for r in own)
         assert all(r["first_slot"] is not None for r in own)
     assert abs(sum(r["share"] for r in shares.values()) - 1) < 1e-9
+    assert all(r["missed"] == r["blocks"] - r["filled"] and r["short"] == (r["missed"] > 0) for r in shares.values())
+    for r in deviations(mix).collect():
+        assert r["worst"] < mix.block + r["longest"] and r["uses"] == sum(u["uses"] for u in uses if u["source"] == r["source"])
+    taken: dict = {}
+    for r in uses:
+        for at in r["slots"]:
+            assert taken.setdefault(at, r["source"]) == r["source"]
+
+
+def test_mix_of_odd_weights(spark):
+    """A period longer than the driver schedules, and weights of more than 1 in all, which count divided by their sum."""
+    docs = spark.createDataFrame([(k, "w " * 7, "abc"[k % 3]) for k in range(300)], "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.3333333333, 2), ("b", 0.1234567891, 1), ("c", 0.2, 9)], "source string, weight double, max_repeats int")
+    mix = mix_sources(docs, targets, tokenizer=None, block=5)
+    assert {r["source"]: r["used"] for r in mix.shares.collect()} == {"a": 700, "b": 266, "c": 420}
+    assert all(r["worst"] < 5 + 7 for r in deviations(mix).collect())
+    targets = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 9), ("c", 1.0, 9)], "source string, weight double, max_repeats int")
+    got = {r["source"]: r for r in mix_sources(docs, targets, tokenizer=None).shares.collect()}
+    assert [got[s]["target"] for s in "abc"] == [525.0, 1050.0, 525.0] and [got[s]["short"] for s in "abc"] == [False, False, False]
 
 
 def test_mix_places_every_use(spark):
     docs = spark.createDataFrame([(k, "w " * 10, "a" if k < 10 else "b") for k in range(40)], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, weight double, max_repeats int")
-    uses = mix_sources(docs, targets, tokenizer=None, slots=40).uses.collect()
+    uses = mix_sources(docs, targets, tokenizer=None, block=10).uses.collect()
     plan = dict(zip("ab", schedule([Fraction(1, 2)] * 2, 40), strict=True))
     for r in uses:
         assert len(r["slots"]) == len(r["starts"]) == r["uses"] and r["slots"][0] == r["first_slot"]
@@ -229,6 +258,25 @@ def test_reading_level_held_out(spark):
     held = [abs(got[d[0]]["level"] - d[3]) for d in data if d[0] >= 160]
     assert np.mean(held) < 2.5
     assert set(model.errors) == {"a", "b", "c"} and sum(n for n, _ in model.errors.values()) == 160
+    one = docs.withColumn("source", F.lit("a"))
+    levels, model = reading_level(one, labels)
+    got = {r["doc_id"]: r["level"] for r in levels.collect()}
+    assert np.mean([abs(got[d[0]] - d[3]) for d in data if d[0] >= 160]) < 2.5 and len({round(v, 3) for v in got.values()}) > 5
+    assert set(model.errors) == {"a"} and model.errors["a"][0] == 160 and model.errors["a"][1] < 2.5
+
+
+def test_errors_are_held_out():
+    """Labels that are pure noise can't be foretold: the error is no less than that of the median."""
+    rng = np.random.default_rng(2)
+    x, y = rng.random((600, 6)), rng.integers(1, 25, 600).astype(float)
+    model = train(x, y, [f"s{k % 6}" for k in range(600)])
+    assert sum(n * e for n, e in model.errors.values()) / 600 > np.abs(y - np.median(y)).mean() - 0.1
+    assert floor_for(model, y, 12.0) < 12 and floor_for(model, np.zeros(600), 12.0) == 1.0
+
+
+def test_isotonic_pools_ties():
+    knots, levels = _isotonic(np.zeros(4), np.array([1.0, 3.0, 5.0, 7.0]))
+    assert knots.tolist() == [0.0] and levels.tolist() == [4.0]
 
 
 def test_reading_level_without_labels(spark):
