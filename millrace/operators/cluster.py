@@ -38,6 +38,12 @@ def mahalanobis(features: str, n: str, sums: str, squares: str):
     return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v))
 
 
+#: Numbers (points times dimensions) up to which k-means takes its points into one array; beyond, every step is a pass over the table.
+LOCAL = 4_000_000
+#: Numbers of one block of differences between points and centroids.
+_CELLS = 4_000_000
+
+
 def farthest_first(pts: DataFrame, k: int) -> np.ndarray:
     """k starting centroids: the point of the least id, then again and again the point farthest from those taken (ties: the
     least id). Each step is one pass in which every task names its farthest point. Ends early if all points are taken."""
@@ -68,10 +74,29 @@ def farthest_first(pts: DataFrame, k: int) -> np.ndarray:
     return np.array(taken, float)
 
 
+def _local_seeds(x: np.ndarray, k: int) -> np.ndarray:
+    """The same over points in the order of their ids."""
+    if not len(x):
+        return np.zeros((0, 0))
+    taken, least = [x[0]], np.full(len(x), np.inf)
+    for _ in range(k - 1):
+        least = np.minimum(least, ((x - taken[-1]) ** 2).sum(axis=1))
+        far = int(least.argmax())
+        if least[far] == 0:
+            break
+        taken.append(x[far])
+    return np.array(taken)
+
+
 def _nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = ((x[:, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
-    at = d.argmin(axis=1)  # the first of equal ones
-    return at, d[np.arange(len(x)), at]
+    """The nearest centroid of each point, the first of equal ones, and the squared distance; some points at a time."""
+    at, d = np.zeros(len(x), np.int64), np.zeros(len(x))
+    step = max(1, _CELLS // max(1, centroids.size))
+    for k in range(0, len(x), step):
+        part = ((x[k : k + step, None, :] - centroids[None, :, :]) ** 2).sum(axis=2)
+        at[k : k + step] = part.argmin(axis=1)
+        d[k : k + step] = part.min(axis=1)
+    return at, d
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -120,16 +145,33 @@ def _step(pts: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return n, s
 
 
-def kmeans(pts: DataFrame, k: int, rounds: int = 100) -> np.ndarray:
-    """Centroids by Lloyd's rounds from farthest-first seeds, until nothing moves or after `rounds`. An empty cluster keeps its centroid."""
+def _local_step(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, _ = _nearest(x, centroids)
+    s = np.zeros(centroids.shape)
+    np.add.at(s, at, x)
+    return np.bincount(at, minlength=len(centroids)), s
+
+
+def kmeans(pts: DataFrame, k: int, rounds: int = 100, tolerance: float = 1e-9, local: int = LOCAL) -> np.ndarray:
+    """Centroids by Lloyd's rounds from farthest-first seeds, until no coordinate moves by more than `tolerance` (of the largest one) or after
+    `rounds`. An empty cluster keeps its centroid. A table of up to `local` numbers is counted first and then searched in one
+    array; of a larger one every round is a pass in which each task sends a row a cluster."""
     pts = materialize(pts)
-    centroids = farthest_first(pts, k)
+    size = pts.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    if not size["n"]:
+        return np.zeros((0, 0))
+    if size["n"] * size["d"] <= local:
+        x = np.array(pts.orderBy("id").select("features").toArrow().column(0).to_pylist(), float).reshape(size["n"], -1)
+        centroids, step = _local_seeds(x, k), lambda c: _local_step(x, c)
+    else:
+        centroids, step = farthest_first(pts, k), lambda c: _step(pts, c)
     for _ in range(rounds if len(centroids) else 0):
-        n, s = _step(pts, centroids)
+        n, s = step(centroids)
         moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centroids)
-        if np.array_equal(moved, centroids):
-            break
+        still = np.abs(moved - centroids).max() <= tolerance * max(1.0, np.abs(centroids).max())
         centroids = moved
+        if still:
+            break
     return centroids
 
 
@@ -168,7 +210,8 @@ class Summary:
         mean = self.sums / self.n[:, None]
         var = np.maximum(self.squares / self.n[:, None] - mean**2, 0)
         scale = np.where(var > 0, var, 1.0)
-        return np.sqrt((((x[:, None, :] - mean) ** 2) / scale).sum(axis=2))
+        step = max(1, _CELLS // max(1, mean.size))
+        return np.concatenate([np.sqrt((((x[k : k + step, None, :] - mean) ** 2) / scale).sum(axis=2)) for k in range(0, max(1, len(x)), step)])
 
 
 @dataclass

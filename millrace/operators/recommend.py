@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import ascii_lower, clean_id
 from millrace.operators.similarity import jaccard, lsh_candidates, minhash_signatures
-from millrace.plans.store import dense_codes, materialize, small
+from millrace.plans.store import BLOCK, dense_codes, materialize, meet, small
 
 #: ASCII punctuation, deleted (not blanked) before content words are cut. Fixed values.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -23,19 +23,19 @@ def test_pairs(df: DataFrame) -> DataFrame:
     return df.select(clean_id("user_id").alias("user"), clean_id("business_id").alias("item")).where("user is not null and item is not null").distinct()
 
 
-def pearson_model(rated: DataFrame, of: str = "item", by: str = "user", min_common: int = 3, candidates: DataFrame | None = None) -> DataFrame:
+def pearson_model(rated: DataFrame, of: str = "item", by: str = "user", min_common: int = 3, candidates: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs a < b of `of` with at least min_common common raters and a positive Pearson correlation over them: a, b, sim.
 
     Sums of the co-rated values are aggregated per pair (partly before the exchange). Values without variance give no row;
     a correlation counts as positive if it is when rounded to 9 places; sim is rounded to 6. candidates (a, b) restricts the pairs.
+    Of a value of `by` with more than `block` ratings two blocks meet at a time.
     """
     enough = rated.groupBy(of).agg(F.count("*").alias("c")).where(F.col("c") >= min_common).select(of)
     x = rated.join(enough, of, "left_semi").select(F.col(of).alias("a"), by, F.col("stars").alias("x"))
-    y = x.select(F.col("a").alias("b"), by, F.col("x").alias("y"))
     if candidates is None:
-        co = x.join(y, by).where("a < b")
+        co = meet(materialize(x), [by], "a", block).select("l.a", F.col("r.a").alias("b"), "l.x", F.col("r.x").alias("y"))
     else:
-        co = candidates.join(x, "a").join(y, ["b", by])
+        co = candidates.join(x, "a").join(x.select(F.col("a").alias("b"), by, F.col("x").alias("y")), ["b", by])
     s = co.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy")).where(F.col("n") >= min_common)
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     s = s.withColumn("v", F.round(vx, 9) * F.round(vy, 9)).where("v > 0")
@@ -43,7 +43,11 @@ def pearson_model(rated: DataFrame, of: str = "item", by: str = "user", min_comm
     return s.withColumn("sim", sim).where(F.round("sim", 9) > 0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-def user_model_lsh(rated: DataFrame, bands: int = 5, rows: int = 4, b: int = 15, p: int = 29, seed: int = 15, at_least: float = 0.01, min_common: int = 3) -> DataFrame:
+#: The user model's hash family, seed, bands and rows. Fixed values.
+_B, _P, _SEED, _BANDS, _ROWS = 15, 29, 15, 5, 4
+
+
+def user_model_lsh(rated: DataFrame, bands: int = _BANDS, rows: int = _ROWS, b: int = _B, p: int = _P, seed: int = _SEED, at_least: float = 0.01, min_common: int = 3) -> DataFrame:
     """The user-user model over LSH candidates of at least the given Jaccard similarity."""
     sets = materialize(rated.select(F.col("user").alias("id"), F.col("item").alias("member")))
     near = lsh_candidates(materialize(minhash_signatures(sets, bands * rows, b, p, seed)), bands, rows)
@@ -92,8 +96,8 @@ def item_profiles(words: DataFrame, top: int = 200, rare: float = 1e-6) -> DataF
     counts = materialize(words.groupBy("item", "word").agg(F.count("*").alias("c")))
     total = counts.agg(F.sum("c")).first()[0] or 0
     kept = counts.groupBy("word").agg(F.sum("c").alias("uses"), F.count("*").alias("df")).where(F.col("uses") >= total * rare)
-    counts = counts.join(kept.select("word", "df"), "word")
-    n = words.select("item").distinct().count()
+    n = counts.select("item").distinct().count()
+    counts = materialize(counts.join(kept.select("word", "df"), "word"))
     most = counts.groupBy("item").agg(F.max("c").alias("most"))
     scored = counts.join(most, "item").withColumn("score", F.round(F.col("c") / F.col("most") * F.log2(F.lit(float(n)) / F.col("df")), 9))
     first = F.row_number().over(W.partitionBy("item").orderBy(F.desc("score"), F.desc("word")))
@@ -111,11 +115,30 @@ def user_profiles(rated: DataFrame, profiles: DataFrame) -> DataFrame:
     return rated.select("user", "item").distinct().join(profiles.select("item", "word"), "item").select("user", "word").distinct()
 
 
-def predict_by_content(pairs: DataFrame, users: DataFrame, profiles: DataFrame, at_least: float = 0.01) -> DataFrame:
-    """Cosine of the word sets of user and item: user, item, sim >= at_least. Unknown users and items have similarity 0."""
-    nu = users.groupBy("user").agg(F.count("*").alias("nu"))
-    ni = profiles.groupBy("item").agg(F.count("*").alias("ni"))
-    common = pairs.join(profiles.select("item", "word"), "item").join(users, ["user", "word"]).groupBy("user", "item").agg(F.count("*").alias("c"))
-    both = common.join(nu, "user").join(ni, "item")
+#: Words of a user's profile that travel as one array at most.
+ARRAY = 100_000
+
+
+def predict_by_content(pairs: DataFrame, users: DataFrame, profiles: DataFrame, at_least: float = 0.01, array: int = ARRAY) -> DataFrame:
+    """Cosine of the word sets of user and item: user, item, sim >= at_least. Unknown users and items have similarity 0.
+
+    Profiles of items (bounded by their `top`) and of users travel as arrays of word numbers, one row each, so the pairs are joined
+    once to either and the common words are counted inside the row. The common words of users of more than `array` words are
+    counted by a join.
+    """
+    codes = dense_codes(profiles.select("word").distinct(), "word", "i")
+    known = pairs.select("user").distinct()
+    coded = materialize(users.join(known, "user", "left_semi").join(codes, "word").select("user", "i"))
+    sizes = coded.groupBy("user").agg(F.count("*").alias("nu"))
+    large = materialize(sizes.where(F.col("nu") > array))
+    held = profiles.join(codes, "word").groupBy("item").agg(F.collect_list("i").alias("wi"))
+    own, rest = coded, None
+    if large.limit(1).count():
+        own = coded.join(large, "user", "left_anti")
+        met = pairs.join(large, "user").join(held, "item").select("user", "item", "nu", F.size("wi").alias("ni"), F.explode("wi").alias("i"))
+        rest = met.join(coded, ["user", "i"]).groupBy("user", "item", "nu", "ni").agg(F.count("*").alias("c"))
+    own = own.groupBy("user").agg(F.collect_list("i").alias("wu"))
+    both = pairs.join(held, "item").join(own, "user").select("user", "item", F.size("wu").cast("long").alias("nu"), F.size("wi").alias("ni"), F.size(F.array_intersect("wi", "wu")).cast("long").alias("c"))
+    both = both if rest is None else both.unionByName(rest)
     sim = F.round(F.col("c") / F.sqrt(F.col("nu") * F.col("ni")), 6)
     return both.select("user", "item", sim.alias("sim")).where(F.col("sim") >= at_least)

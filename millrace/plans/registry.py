@@ -1,5 +1,6 @@
 """All queries of the core, and the SQL that gives the same rows in DuckDB where SQL can express them."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -8,17 +9,19 @@ from pyspark.sql import functions as F
 from millrace.functions.text import clean_id
 from millrace.operators import cluster, explore, graph, itemsets, recommend, similarity, sketch
 from millrace.plans import queries_packed
-from millrace.plans.store import latest, materialize
-from millrace.sources import read_table, streams
+from millrace.plans.store import latest, materialize, shared_dir
+from millrace.sources import read_csv_pairs, read_json, read_table, read_text, read_words, sinks, streams
+from millrace.sources.tables import REVIEW
 from millrace.streaming import operators as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 YEAR, TOP = "2016", 20
 
 
-def _reviews(s: SparkSession, d: str) -> DataFrame:
+def _reviews(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The current reviews: of rows delivered several times or in several versions the last one."""
     ids = {c: clean_id(c) for c in ("review_id", "user_id", "business_id")}
-    return read_table(s, d, "review").withColumns(ids)
+    return latest(read_table(s, d, "review").withColumns(ids), "review_id", "loaded_at", *columns)
 
 
 def _businesses(s: SparkSession, d: str) -> DataFrame:
@@ -59,52 +62,65 @@ EDGE_SHARED = 4
 
 
 def distinct_reviews(s, d):
-    return explore.count_distinct(_reviews(s, d), "review_id")
+    return explore.count_distinct(_reviews(s, d, "user_id"), "review_id")
 
 
 def distinct_users(s, d):
-    return explore.count_distinct(_reviews(s, d), "user_id")
+    return explore.count_distinct(_reviews(s, d, "user_id"), "user_id")
 
 
 def reviews_in_year(s, d):
-    return explore.rows_in_year(_reviews(s, d), "date", YEAR, "review_id")
+    return explore.rows_in_year(_reviews(s, d, "date"), "date", YEAR, "review_id")
 
 
 def top_users(s, d):
-    return explore.top_counts(_reviews(s, d), "user_id", TOP)
+    return explore.top_counts(_reviews(s, d, "user_id"), "user_id", TOP)
 
 
 def top_words(s, d):
-    return explore.top_words(_reviews(s, d), "text", read_table(s, d, "stopwords"), TOP)
+    return explore.top_words(_reviews(s, d, "text"), "text", read_table(s, d, "stopwords"), TOP)
 
 
 def review_summary(s, d):
-    return explore.review_summary(_reviews(s, d), read_table(s, d, "stopwords"), YEAR, TOP, TOP)
+    """The summary's lists as text: key:count in order."""
+    got = explore.review_summary(materialize(_reviews(s, d, "date", "user_id", "text")), read_table(s, d, "stopwords"), YEAR, TOP, TOP)
+    flat = lambda c, k: F.array_join(F.transform(c, lambda x: F.concat(x[k], F.lit(":"), x["count"].cast("string"))), " ").alias(c)
+    return got.select("a", "b", "c", flat("d", "user_id"), flat("e", "word"))
+
+
+def _rated_reviews(s, d):
+    """Current reviews with a possible number of stars."""
+    return _reviews(s, d, "business_id", "stars").where("stars between 1 and 5")
 
 
 def category_avg_stars(s, d):
-    return explore.category_avg_stars(_reviews(s, d), _businesses(s, d))
+    return explore.category_avg_stars(_rated_reviews(s, d), _businesses(s, d))
 
 
 def top_categories(s, d):
-    return explore.category_avg_stars(_reviews(s, d), _businesses(s, d), TOP)
+    return explore.category_avg_stars(_rated_reviews(s, d), _businesses(s, d), TOP)
 
 
 def popular_businesses(s, d):
-    return explore.frequent_keys(_reviews(s, d), "business_id", 25)
+    return explore.frequent_keys(_reviews(s, d, "business_id"), "business_id", 25)
 
 
 def partition_profile(s, d):
     """Placement by the first character of the id."""
-    return explore.partition_profile(_reviews(s, d).where("business_id is not null"), 16, placement=F.ascii("business_id"))
+    return explore.partition_profile(_reviews(s, d, "business_id").where("business_id is not null"), 16, placement=F.ascii("business_id"))
 
 
 def partition_profile_hash(s, d):
-    return explore.partition_profile(_reviews(s, d), 16, "business_id").agg(F.sum("rows").alias("rows"), F.count("*").alias("partitions"))
+    """Rows and partitions of a placement by key, and the keys whose rows are in more than one partition."""
+    reviews = materialize(_reviews(s, d, "business_id"))
+    profile = explore.partition_profile(reviews, 16, "business_id").agg(F.sum("rows").alias("rows"), F.count("*").alias("partitions"))
+    placed = materialize(reviews.repartition(16, "business_id").select("business_id", F.spark_partition_id().alias("p")))
+    split = placed.groupBy("business_id").agg(F.countDistinct("p").alias("n")).agg(F.count_if(F.col("n") > 1).alias("split_keys"))
+    return profile.crossJoin(split)  # one row each
 
 
 def state_baskets(s, d):
-    return itemsets.state_baskets(_reviews(s, d).where("user_id is not null"), _businesses(s, d))
+    return itemsets.state_baskets(_reviews(s, d, "user_id", "business_id").where("user_id is not null"), _businesses(s, d))
 
 
 def frequent_itemsets_users(s, d):
@@ -133,24 +149,23 @@ def jaccard_pairs(s, d):
 
 
 def minhash_signatures(s, d):
-    return similarity.minhash_signatures(_sets(s, d), 20).select("id", F.array_join("signature", " ").alias("signature"))
-
-
-def minhash_signatures_full(s, d):
-    """The 1000 hashes that lsh_pairs_full cuts into bands."""
+    """The 1000 hashes that lsh_pairs cuts into bands."""
     return similarity.minhash_signatures(_sets(s, d)).select("id", F.array_join("signature", " ").alias("signature"))
 
 
 def lsh_pairs(s, d):
-    """50 bands, as in its SQL; finds few of the pairs near 0.05. The whole job is lsh_pairs_full."""
-    return similarity.lsh_pairs(materialize(_sets(s, d)), 50).select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-def lsh_pairs_full(s, d):
     """500 bands of 2 rows."""
     return similarity.lsh_pairs(materialize(_sets(s, d))).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+def lsh_recall(s, d):
+    """For thresholds of 0.1 and 0.2 the pairs that there are, and whether the bands find 0.9 of them or more."""
+    sets = materialize(_sets(s, d))
+    exact, found = (df.select("a", "b", F.round("sim", 6).alias("sim")) for df in (similarity.jaccard_pairs(sets, 0.1), similarity.lsh_pairs(sets)))
+    both = exact.join(found.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").withColumn("at_least", F.explode(F.array(F.lit(0.1), F.lit(0.2)))).where(F.col("sim") >= F.col("at_least"))
+    return both.groupBy("at_least").agg(F.count("*").alias("pairs"), (F.count("hit") >= 0.9 * F.count("*")).alias("found_most"))
+
+
 def item_model(s, d):
     return recommend.pearson_model(_rated(s, d))
 
@@ -189,7 +204,9 @@ def tfidf_indexed(s, d):
 
 
 def user_profile(s, d):
-    return recommend.user_profiles(_rated(s, d), _profiles(s, d)).groupBy("user").agg(F.count("*").alias("words"))
+    """The words of each user: their number, the first and the last, and their letters."""
+    words = recommend.user_profiles(_rated(s, d), _profiles(s, d))
+    return words.groupBy("user").agg(F.count("*").alias("words"), F.min("word").alias("first"), F.max("word").alias("last"), F.sum(F.length("word")).alias("letters"))
 
 
 def content_predict(s, d):
@@ -223,10 +240,19 @@ def graph_modularity(s, d):
 
 
 def girvan_newman(s, d):
-    """On the stronger ties: at least 7 shared businesses."""
+    """On the stronger ties: at least 7 shared businesses. The score is checked by girvan_newman_score."""
     return graph.girvan_newman(materialize(graph.cooccurrence_edges(_baskets(s, d, 1), 7)))
 
 
+def girvan_newman_score(s, d):
+    """Vertices, and whether the score that the search reports is the modularity of the communities that it returns, and not below 0."""
+    edges = materialize(graph.cooccurrence_edges(_baskets(s, d, 1), 7))
+    got = materialize(graph.girvan_newman(edges))
+    own = graph.modularity(edges, got, "community").select(F.col("q").alias("own"))
+    facts = got.agg(F.count("*").alias("vertices"), F.coalesce(F.max("q"), F.lit(0.0)).alias("q"))
+    return facts.crossJoin(own).select("vertices", ((F.abs(F.col("q") - F.col("own")) < 1e-6) | (F.col("q") == 0)).alias("same"), (F.col("q") >= 0).alias("gain"))  # one row each
+
+
 def kmeans_assign(s, d):
     pts = materialize(_points(s, d))
     return cluster.assign(pts, cluster.kmeans(pts, 10))
@@ -245,17 +271,48 @@ def _chunked(s, d):
 
 
 def chunked_labels(s, d):
-    return _chunked(s, d).labels
+    """Every point of the chunks, and whether its label is a cluster or that of the outliers."""
+    return _chunked(s, d).labels.select("id", F.col("cluster").between(-1, 9).alias("labelled"))
 
 
 def chunked_rounds(s, d):
-    return cluster.rounds_table(s, _chunked(s, d).rounds)
+    """For every round the points that its summaries and retained points account for, and whether clusters and points are in keeping."""
+    t = cluster.rounds_table(s, _chunked(s, d).rounds)
+    fits = (F.col("nof_cluster_discard") <= 10) & (F.col("nof_point_compression") >= 2 * F.col("nof_cluster_compression")) & (F.col("nof_point_retained") >= 0)
+    return t.select("round_id", (F.col("nof_point_discard") + F.col("nof_point_compression") + F.col("nof_point_retained")).alias("points"), fits.alias("fits"))
 
 
 def nmi(s, d):
-    """Agreement of parity classes of the ids with the labels of the vectors."""
-    rows = read_table(s, d, "embeddings").select("label", (F.col("vec_id") % 10).cast("int").alias("own"))
-    return cluster.nmi(rows, "own", "label")
+    """Agreement of the k-means clusters with the labels of the vectors."""
+    rows = kmeans_assign(s, d).join(read_table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    return cluster.nmi(materialize(rows), "cluster", "label")
+
+
+def squared_distances(s, d):
+    """Squared distance of every point to the one with the next id."""
+    pts = _points(s, d)
+    near = pts.select((F.col("id") - 1).alias("id"), F.col("features").alias("other"))
+    return pts.join(near, "id").select("id", F.round(cluster.squared_distance("features", "other"), 6).alias("distance"))
+
+
+def points_round_trip(s, d):
+    """The vectors written as lines of text and parsed again: id, dimensions, sum."""
+    at = f"{shared_dir(s)}/lines-{uuid.uuid4().hex}"
+    line = F.concat_ws(",", F.col("id").cast("string"), F.transform("features", lambda x: x.cast("string")))
+    _points(s, d).select(line.alias("line")).write.text(at)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return cluster.parse_points(read_text(s, at)).select("id", F.size("features").alias("dimensions"), F.round(total, 6).alias("total"))
+
+
+def source_round_trip(s, d):
+    """Tables written as JSON lines, CSV and a word list and read again: rows and distinct values of each."""
+    at = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    sinks.write_json_rows(read_table(s, d, "review").drop("loaded_at"), f"{at}/json")
+    sinks.write_csv(read_table(s, d, "user_business"), f"{at}/csv")
+    read_table(s, d, "stopwords").select(F.coalesce("word", F.lit(""))).write.text(f"{at}/words")
+    review, pairs, words = read_json(s, f"{at}/json", REVIEW), itemsets.baskets(read_csv_pairs(s, f"{at}/csv")), read_words(s, f"{at}/words")
+    facts = lambda df, name, key: df.agg(F.lit(name).alias("source"), F.count("*").alias("rows"), F.countDistinct(key).alias("keys"))
+    return facts(review, "json", clean_id("review_id")).unionByName(facts(pairs, "csv", "item")).unionByName(facts(words, "text", F.lower(F.trim("word"))))
 
 
 def _cities(s, d, there: bool):
@@ -272,6 +329,14 @@ def fm_estimate(s, d):
     return sketch.fm_distinct(rows, "city", ["state"]).withColumn("estimate", F.round("estimate", 6))
 
 
+def hll_estimate(s, d):
+    """Per state the distinct cities, and whether the sketch is within 5 % (or 1) of them."""
+    rows = read_table(s, d, "business").select(F.upper(F.trim("state")).alias("state"), F.trim("city").alias("city")).where("city <> ''")
+    truth = rows.groupBy("state").agg(F.countDistinct("city").alias("truth"))
+    both = truth.alias("x").join(sketch.hll_distinct(rows, "city", ["state"]).alias("y"), F.col("x.state").eqNullSafe(F.col("y.state")))
+    return both.select("x.state", "truth", (F.abs(F.col("estimate") - F.col("truth")) <= F.greatest(F.lit(1.0), 0.05 * F.col("truth"))).alias("close"))
+
+
 def _tagged(s, d):
     return read_table(s, d, "events").select("event_id", "ts", F.concat(F.lit("#"), "event_type", F.lit(" at "), F.col("user_id").cast("string")).alias("text"))
 
@@ -284,6 +349,18 @@ def reservoir_sample(s, d):
     return sketch.reservoir(read_table(s, d, "events"), "event_id", 100).select("event_id", "priority")
 
 
+def tag_changes(s, d):
+    """Counts of event types, events of a small value taking one away."""
+    rows = read_table(s, d, "events").select(F.col("event_type").alias("tag"), F.when(F.col("value") < 0.3, -1).otherwise(1).alias("sign"))
+    return sketch.count_changes(rows, "sign")
+
+
+def busiest_minutes(s, d):
+    """Peaks of the events a minute."""
+    counts = read_table(s, d, "events").groupBy(F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute")).agg(F.count("*").alias("n"))
+    return sketch.peaks(counts, "minute", "n").select(F.col("minute").cast("timestamp_ntz").alias("minute"), "n")
+
+
 def windowed_distinct(s, d):
     rows = read_table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("user"))
     got = sketch.fm_distinct(rows, "user", [F.window("ts", "30 minutes", "10 minutes").alias("w")])
@@ -298,8 +375,9 @@ def stream_windowed_distinct(s, d):
 
 
 def stream_bloom_probe(s, d):
+    """Businesses of each city in the stream, and whether the filter knows the city."""
     rows = streams.table_stream(s, d, "business").select("business_id", F.trim("city").alias("city"))
-    return streaming.run_once(streaming.streaming_bloom(rows, "city", sketch.bloom_build(_cities(s, d, True), "city"))).groupBy("seen").agg(F.count("*").alias("n"))
+    return streaming.run_once(sketch.bloom_probe(rows, "city", sketch.bloom_build(_cities(s, d, True), "city"))).groupBy("city", "seen").agg(F.count("*").alias("n"))
 
 
 def stream_reservoir(s, d):
@@ -310,10 +388,10 @@ def stream_reservoir(s, d):
 
 _NAMES = """distinct_reviews distinct_users reviews_in_year top_users top_words review_summary category_avg_stars top_categories popular_businesses
 partition_profile partition_profile_hash state_baskets frequent_itemsets_users frequent_itemsets_businesses frequent_itemsets_large candidate_itemsets fp_growth
-jaccard_pairs minhash_signatures minhash_signatures_full lsh_pairs lsh_pairs_full item_model user_model user_model_lsh item_predict user_predict stored_model_predict tfidf_profile tfidf_indexed
-user_profile content_predict cooccur_graph graph_components graph_communities label_propagation edge_betweenness graph_modularity girvan_newman
-kmeans_assign mahalanobis chunked_labels chunked_rounds nmi bloom_probe fm_estimate top_tags reservoir_sample windowed_distinct stream_windowed_distinct
-stream_bloom_probe stream_reservoir"""
+jaccard_pairs minhash_signatures lsh_pairs lsh_recall item_model user_model user_model_lsh item_predict user_predict stored_model_predict tfidf_profile tfidf_indexed
+user_profile content_predict cooccur_graph graph_components graph_communities label_propagation edge_betweenness graph_modularity girvan_newman girvan_newman_score
+kmeans_assign mahalanobis squared_distances chunked_labels chunked_rounds nmi points_round_trip source_round_trip bloom_probe fm_estimate hll_estimate top_tags
+tag_changes busiest_minutes reservoir_sample windowed_distinct stream_windowed_distinct stream_bloom_probe stream_reservoir"""
 
 
 def queries() -> dict[str, Query]:

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans.store import dense_codes
+
 
 def write_json_rows(df: DataFrame, path: str) -> None:
     """JSON lines."""
@@ -28,9 +30,23 @@ def write_model(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """The column `line` as text, in order of the column `pos`."""
-    df.orderBy("pos").coalesce(1).select("line").write.mode("overwrite").text(path)
+def write_labels(labels: DataFrame, path: str) -> None:
+    """One JSON document {id: label}, as in `read_labels`. A document is one value; `write_model` is the form for labels of any number."""
+    entries = F.collect_list(F.struct(F.col("id").cast("string"), "cluster"))
+    labels.agg(F.to_json(F.map_from_entries(entries)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_profiles(items: DataFrame, users: DataFrame, path: str) -> None:
+    """One JSON document of the profiles (id, words), as in `read_profiles`. `write_model` is the form for profiles of any number."""
+    pack = lambda df, k: df.agg(F.map_from_entries(F.collect_list(F.struct("id", "words"))).alias(k))
+    one = pack(items, "itemfile").crossJoin(pack(users, "userfile"))  # one row each
+    one.select(F.to_json(F.struct("itemfile", "userfile")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_lines(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """The column `line` as text, in order of the column `pos`: one file, or with one_file=False as many as there are ranges, in the order of their names."""
+    ordered = df.orderBy("pos").coalesce(1) if one_file else df.repartitionByRange("pos").sortWithinPartitions("pos")
+    ordered.select("line").write.mode("overwrite").text(path)
 
 
 def flags_line(df: DataFrame, order: str, flag: str) -> DataFrame:
@@ -57,16 +73,13 @@ def itemset_report(candidates: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def community_report(communities: DataFrame) -> DataFrame:
-    """One line per community, smallest first, quoted members: pos, line."""
-    from pyspark.sql import Window as W
-
+    """One line per community, smallest first, quoted members: pos, line. Numbered by ranges."""
     line = F.array_join(F.transform("members", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ")
-    return communities.select((F.row_number().over(W.orderBy("size", "members")) - 1).alias("pos"), line.alias("line"))
+    return dense_codes(communities.select("size", "members"), ["size", "members"], "pos").select("pos", line.alias("line"))
 
 
 def betweenness_report(edges: DataFrame) -> DataFrame:
-    """Lines ('a', 'b'), value; greatest first, ties by the ends: pos, line."""
-    from pyspark.sql import Window as W
-
+    """Lines ('a', 'b'), value; greatest first, ties by the ends: pos, line. Numbered by ranges."""
     line = F.concat(F.lit("('"), "a", F.lit("', '"), "b", F.lit("'), "), F.col("betweenness").cast("string"))
-    return edges.select((F.row_number().over(W.orderBy(F.desc("betweenness"), "a", "b")) - 1).alias("pos"), line.alias("line"))
+    rows = edges.select((-F.col("betweenness")).alias("o"), "a", "b", "betweenness")
+    return dense_codes(rows, ["o", "a", "b"], "pos").select("pos", line.alias("line"))

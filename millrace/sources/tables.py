@@ -34,3 +34,29 @@ def read_csv_pairs(spark: SparkSession, path: str, schema: str = BASKET) -> Data
 def read_words(spark: SparkSession, path: str) -> DataFrame:
     """A word list, one word a line, as column `word`."""
     return spark.read.text(path).select(F.col("value").alias("word"))
+
+
+def chunk_files(spark: SparkSession, folder: str) -> list[str]:
+    """The files of a folder in the order of their names. Only names are read."""
+    files = spark.read.format("binaryFile").load(folder).select("path").collect()
+    return sorted((r["path"] for r in files), key=lambda p: p.rsplit("/", 1)[-1])
+
+
+def read_chunks(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The text files of a folder, one table of lines each, in the order of their names."""
+    return [spark.read.text(p) for p in chunk_files(spark, folder)]
+
+
+def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document {id: label} as the table (id, label)."""
+    return _document(spark, path, "map<string,int>").select(F.explode("d").alias("id", "label")).select(F.col("id").cast("long").alias("id"), "label")
+
+
+def read_profiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """One JSON document {"itemfile": {id: [word numbers]}, "userfile": ...} as the tables (id, words) of items and of users."""
+    d = _document(spark, path, "itemfile map<string,array<int>>, userfile map<string,array<int>>")
+    return tuple(d.select(F.explode(f"d.{k}").alias("id", "words")) for k in ("itemfile", "userfile"))

@@ -203,6 +203,51 @@ def test_components_and_labels(spark, rows):
     assert graph.components(_edges(spark, ["ab"]).where("false")).count() == 0
 
 
+def test_components_take_few_rounds(spark, rows):
+    """Paths whose names are shuffled, ordered, or alternate between the ends."""
+    import math
+
+    n = 300
+    shuffled = [f"v{k:04d}" for k in RNG.sample(range(n), n)]
+    ordered = [f"v{k:04d}" for k in range(n)]
+    zigzag = [f"v{(k // 2 if k % 2 else n - 1 - k // 2):04d}" for k in range(n)]
+    for names in (shuffled, ordered, zigzag):
+        edges = spark.createDataFrame([(min(p), max(p)) for p in zip(names, names[1:], strict=False)], "a string, b string").repartition(4)
+        took: list = []
+        got = dict(rows(graph.components(edges, contract=False, rounds=took)))
+        assert len(got) == n and set(got.values()) == {"v0000"} and len(took) <= 2 * math.log2(n) + 4
+    took = []
+    assert set(dict(rows(graph.components(edges, rounds=took))).values()) == {"v0000"} and len(took) <= 6
+
+
+def test_hot_keys_meet_in_blocks(spark, rows):
+    """The same pairs whether a hot key is cut into blocks or not."""
+    from millrace.plans.store import meet
+
+    df = spark.createDataFrame([(f"i{k:03d}", "hot" if k % 3 else f"c{k % 7}") for k in range(150)] + [("i001", "c1")], "i string, k string")
+    want = rows(meet(df, ["k"], "i").select("l.k", "l.i", F.col("r.i").alias("j")))
+    assert rows(meet(df, ["k"], "i", 10).select("l.k", "l.i", F.col("r.i").alias("j"))) == want
+    assert len(want) == sum(1 for (a, k), (b, j) in combinations(sorted(rows(df)), 2) if k == j and a != b)
+    sets = spark.createDataFrame([(f"s{k}", m) for k in range(40) for m in ("hot", f"m{k % 9}", f"n{k}")], "id string, member string")
+    assert rows(similarity.jaccard_pairs(sets, 0.2, 4)) == rows(similarity.jaccard_pairs(sets, 0.2))
+    baskets = sets.select(F.col("id").alias("basket"), F.col("member").alias("item"))
+    assert rows(graph.cooccurrence_edges(baskets, 2, 4)) == rows(graph.cooccurrence_edges(baskets, 2)) != []
+
+
+def test_jaccard_against_brute_force(spark):
+    sets = {f"s{k:02d}": {f"m{int(RNG.expovariate(0.08))}" for _ in range(RNG.randint(1, 40))} for k in range(60)}
+    df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s], "id string, member string")
+    for least in (0.05, 0.3, 0.5, 1.0):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
+        got = {(r["a"], r["b"]): r["sim"] for r in similarity.jaccard_pairs(df, least, 8).collect()}
+        assert got == pytest.approx({p: s for p, s in want.items() if s >= least})
+
+
+def test_signatures_of_sets_signed_in_parts(spark, rows):
+    df = spark.createDataFrame([(f"s{k % 3}", f"m{k}") for k in range(600)] + [("one", "m1")], "id string, member string").repartition(5)
+    assert rows(similarity.minhash_signatures(df, 40, part=50)) == rows(similarity.minhash_signatures(df, 40))
+
+
 def test_modularity(spark, rows):
     edges = _edges(spark, ["ab", "bc", "ac", "de", "ef", "df", "cd"])
     labels = spark.createDataFrame([(v, "x" if v in "abc" else "y") for v in "abcdef"], "v string, c string")
@@ -217,6 +262,17 @@ def test_girvan_newman(spark, rows):
     assert {(v, c) for v, c, _ in two} == {("a", "a"), ("b", "b"), ("x", "x"), ("y", "x")}  # the unsplit graph isn't scored
 
 
+def test_girvan_newman_step_by_step(spark, rows):
+    """A component that is too large for a task comes apart in the same way."""
+    edges = _edges(spark, ["ab", "bc", "ac", "cd", "xy"])
+    assert rows(graph.girvan_newman(edges, most_edges=3)) == rows(graph.girvan_newman(edges))
+
+
+def test_betweenness_in_parts(spark, rows):
+    edges = spark.createDataFrame(_random_graph(12, 20), "a string, b string")
+    assert rows(graph.edge_betweenness(edges, 6, sources=4)) == rows(graph.edge_betweenness(edges, 6))
+
+
 def test_girvan_newman_against_brute_force(spark, rows):
     for n, m in ((8, 10), (10, 12)):
         pairs = _random_graph(n, m)
@@ -249,7 +305,8 @@ def test_girvan_newman_against_brute_force(spark, rows):
                 closed = True
             if q < best - 0.05:
                 break
-        got = rows(graph.girvan_newman(spark.createDataFrame(pairs, "a string, b string")))
+        edges = spark.createDataFrame(pairs, "a string, b string")
+        got = rows(graph.girvan_newman(edges))
         assert {(v, c) for v, c, _ in got} == {(v, c) for c, s in chosen.items() for v in s} and got[0][2] == pytest.approx(best, abs=1e-8)
 
 
@@ -273,6 +330,7 @@ def test_kmeans(spark, rows):
     assert all(len({labels[k] for k in range(30 * c, 30 * c + 30)}) == 1 for c in range(3)) and len(set(labels.values())) == 3
     assert len(cluster.kmeans(_points(spark, [[1, 1]] * 5), 3)) == 1  # fewer distinct points than clusters
     assert cluster.kmeans(pts.where("false"), 3).size == 0
+    assert np.allclose(cluster.kmeans(pts, 3, local=0), centroids) and cluster.kmeans(pts.where("false"), 3, local=0).size == 0
 
 
 def test_mahalanobis(spark):
@@ -362,6 +420,16 @@ def test_reservoir(spark, rows):
     parts = sketch.reservoir(df.where("k < 300"), "k", 50).unionByName(sketch.reservoir(df.where("k >= 300"), "k", 50)).drop("priority")
     assert len(whole) == 50 and rows(sketch.reservoir(parts, "k", 50), "k") == whole
     assert sketch.reservoir(df.limit(7), "k", 50).count() == 7
+    assert sketch.reservoir(spark.range(4_000_000_000_000, 4_000_000_001_000).withColumnRenamed("id", "k"), "k", 50).count() == 50
+    assert sketch.reservoir(spark.createDataFrame([("a",), (None,)], "k string"), "k", 50).count() == 2
+    big = spark.range(20_000).withColumnRenamed("id", "k")
+    low = sum(r["k"] < 10_000 for r in sketch.reservoir(big, "k", 2000).collect())
+    assert 880 < low < 1120  # uniform
+
+
+def test_hll(spark, rows):
+    df = spark.range(60_000).selectExpr("concat('v', id % 30000) v", "cast(id % 2 as string) g")
+    assert all(abs(n - 15_000) < 450 for _, n in rows(sketch.hll_distinct(df, "v", ["g"])))
 
 
 def test_peaks(spark, rows):

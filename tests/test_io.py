@@ -49,7 +49,7 @@ def test_streams_equal_batches(spark, rows, tmp_path):
     want = sketch.fm_distinct(df, "city", [F.window("ts", "30 seconds", "10 seconds").alias("w")]).select(F.col("w.start").alias("window_start"), "truth", "estimate")
     assert rows(got.select("window_start", F.col("truth").cast("long"), "estimate")) == rows(want)
     built = sketch.bloom_build(df.where("id < 5"), "city")
-    assert rows(streaming.run_once(streaming.streaming_bloom(source().select("id", "city"), "city", built))) == rows(sketch.bloom_probe(df.select("id", "city"), "city", built))
+    assert rows(streaming.run_once(sketch.bloom_probe(source().select("id", "city"), "city", built))) == rows(sketch.bloom_probe(df.select("id", "city"), "city", built))
     sink = streaming.ReservoirSink(spark, "id", 20)
     streaming.run_once(streaming.tag_stream(source().select("id", "text"), "text"), sink)
     assert rows(sink.sample(), "id") == rows(sketch.reservoir(df, "id", 20), "id") and sink.reports
