@@ -26,17 +26,17 @@ def p6_learned(spark: SparkSession, d: str) -> DataFrame:
     return _names(split_packed(_business(spark, d), "business_id", "categories"))
 
 
-_QUOTED = r'"([^"]*[,;|\t][^"]*)"'
+_QUOTED = r'(^|[,;|\t\[]\s*)"([^"]*[,;|\t][^"]*)"(?=\s*(?:[,;|\t\]]|$))'
 
 
 def p6_unquoted(spark: SparkSession, d: str) -> DataFrame:
-    """How well the learned segmentation restores names whose quotes are lost: the quotes of names with a separator inside are taken from
+    """How well the learned segmentation restores names whose quotes are lost: the quotes around names with a separator inside are taken from
     the fields of about half of the businesses (those whose id's md5 begins below 8), and the split is compared with that of
     the fields as they are. One row: planted (names that lost their quotes), and whether 0.9 of them or more are found and
     0.9 or more of all names are right."""
     rows = _business(spark, d).where("business_id is not null")
     lost = F.md5("business_id") < "8"
-    bare = F.when(lost, F.regexp_replace("categories", _QUOTED, "$1")).otherwise(F.col("categories"))
+    bare = F.when(lost, F.regexp_replace("categories", _QUOTED, "$1$2")).otherwise(F.col("categories"))
     want = materialize(_names(split_packed(rows, "business_id", "categories", strict=True)).withColumn("whole", lost & F.col("category").rlike(r"[,;|\t]")))
     got = _names(split_packed(rows.select("business_id", bare.alias("categories")), "business_id", "categories")).withColumn("n", F.lit(1))
     both = want.join(got, ["business_id", "pos", "category"], "full_outer")
@@ -74,6 +74,6 @@ SQL = {
     # no name of these tables is both quoted somewhere and written bare elsewhere, so the learned split must not join anything
     "p6_learned": _RULES + " SELECT * FROM found",
     "p6_unquoted": _RULES
-    + r""", hurt AS (SELECT business_id FROM (SELECT business_id, c FROM current) WHERE regexp_matches(c, '"[^"]*[,;|\t][^"]*"') AND md5(business_id) < '8')
+    + r""", hurt AS (SELECT business_id FROM (SELECT business_id, c FROM current) WHERE regexp_matches(c, '(^|[,;|\t]\s*)"[^"]*[,;|\t][^"]*"\s*([,;|\t]|$)') AND md5(business_id) < '8')
         SELECT count(*) AS planted, true AS found_most, true AS mostly_right FROM found WHERE regexp_matches(category, '[,;|\t]') AND business_id IN (SELECT business_id FROM hurt)""",
 }
