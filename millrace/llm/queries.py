@@ -155,7 +155,7 @@ def _grade(words, sentences, syllables):
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that the trees place high enough, or that are unlike all they were trained on; then the exact formula decides. The
-    level that is high enough lies below 12 by twice the greatest shortfall that cross-validation shows (see `floor_for`)."""
+    level that is high enough lies below 12 by four times the greatest shortfall that cross-validation shows (see `floor_for`)."""
     docs = read_table(spark, d, "documents").where("lower(lang) = 'en'")
     levels, model = reading_level(docs, read_table(spark, d, "reading_labels"))
     words, sentences, syllables = (model.sample[:, k] for k in range(3))
