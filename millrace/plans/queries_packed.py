@@ -26,7 +26,7 @@ def p6_learned(spark: SparkSession, d: str) -> DataFrame:
     return _names(split_packed(_business(spark, d), "business_id", "categories"))
 
 
-_QUOTED = r'(^|[,;|\t\[]\s*)"([^"]*[,;|\t][^"]*)"(?=\s*(?:[,;|\t\]]|$))'
+_QUOTED = r'(^\s*|[,;|\t\[]\s*)"([^"]*[,;|\t][^"]*)"(?=\s*(?:[,;|\t\]]|$))'
 
 
 def p6_unquoted(spark: SparkSession, d: str) -> DataFrame:
