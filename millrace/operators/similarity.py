@@ -14,6 +14,8 @@ from millrace.plans.store import BLOCK, dense_codes, materialize, meet
 
 #: The hash family (a * x + b) % p, its seed, and the signature's bands and rows. Fixed values.
 B, P, SEED, BANDS, ROWS = 1301, 24593, 1301, 500, 2
+#: Similarity from which the exact join goes by prefixes.
+PREFIX_FROM = 0.3
 #: Members of one set that one task takes; larger sets are signed in parts.
 PART = 100_000
 
@@ -36,14 +38,21 @@ def jaccard(pairs: DataFrame, sets: DataFrame, at_least: float) -> DataFrame:
     return both.withColumn("sim", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("sim") >= at_least).select("a", "b", "sim")
 
 
-def jaccard_pairs(sets: DataFrame, at_least: float = 0.05, block: int = BLOCK) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, at_least: float = 0.05, block: int = BLOCK, prefix: bool | None = None) -> DataFrame:
     """All pairs a < b of similarity at_least or more: a, b, sim.
 
-    Sets meet on the members of their prefix: in the order of frequency, rare ones first, two sets of that similarity share one
+    Without `prefix` (by default below PREFIX_FROM, where prefixes leave out next to nothing) pairs are counted from all their
+    common members, in one aggregation. With it sets meet on the members of their prefix: in the order of frequency, rare ones first, two sets of that similarity share one
     of the first size - ceil(at_least * size) + 1 members of each, so frequent members of larger sets pair nothing up. A
     member that still brings more than `block` sets together is taken block by block. Pairs met are then counted over all
     their members.
     """
+    near = (F.col("l.n") >= F.col("r.n") * at_least) & (F.col("r.n") >= F.col("l.n") * at_least)
+    if not (at_least >= PREFIX_FROM if prefix is None else prefix):
+        x = sets.join(sets.groupBy("id").agg(F.count("*").alias("n")), "id").select("id", "member", "n")
+        common = meet(materialize(x), ["member"], "id", block, near)
+        common = common.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb")).agg(F.count("*").alias("c"))
+        return common.withColumn("sim", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("sim") >= at_least).select("a", "b", "sim")
     sizes = materialize(sets.groupBy("id").agg(F.count("*").alias("n")))
     codes = dense_codes(sets.groupBy("member").agg(F.count("*").alias("f")), ["f", "member"], "x")
     coded = materialize(sets.join(codes.select("member", "x"), "member").join(sizes, "id").select("id", "n", "x"))
@@ -53,9 +62,8 @@ def jaccard_pairs(sets: DataFrame, at_least: float = 0.05, block: int = BLOCK) -
     stepped = coded.withColumn("q", F.floor(F.col("x") * 1024 / n).cast("int"))
     upto = stepped.groupBy("id", "n", "q").agg(F.count("*").alias("m"))
     upto = upto.withColumn("before", F.sum("m").over(W.partitionBy("id").orderBy("q")) - F.col("m")).where(F.col("before") < F.col("n") - overlap + 1)
-    prefix = materialize(stepped.join(upto.groupBy("id").agg(F.max("q").alias("last")), "id").where("q <= last").select("id", "n", "x"))
-    near = (F.col("l.n") >= F.col("r.n") * at_least) & (F.col("r.n") >= F.col("l.n") * at_least)
-    pairs = meet(prefix, ["x"], "id", block, near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    first = materialize(stepped.join(upto.groupBy("id").agg(F.max("q").alias("last")), "id").where("q <= last").select("id", "n", "x"))
+    pairs = meet(first, ["x"], "id", block, near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     return jaccard(pairs, coded.select("id", F.col("x").alias("member")), at_least)
 
 

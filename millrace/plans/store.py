@@ -64,21 +64,22 @@ def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 BLOCK = 2000
 
 
-def meet(rows: DataFrame, on: list[str], id: str, block: int = BLOCK, when=None) -> DataFrame:
+def meet(rows: DataFrame, on: list[str], id: str, block: int = BLOCK, when=None, hot: bool = True) -> DataFrame:
     """Pairs of rows (aliases l and r) that are equal in `on`, with l.id < r.id and the further condition `when`.
 
     A key of more than `block` rows is cut into blocks by a hash of the id, and every two blocks meet under a key of their
-    own, so no task takes more than two blocks of a hot key at a time. Without hot keys it is a plain join.
+    own, so no task takes more than two blocks of a hot key at a time. Without hot keys it is a plain join; hot=False
+    tells that there are none, so that they needn't be looked for.
     """
-    hot = materialize(rows.groupBy(*on).agg(F.count("*").alias("_f")).where(F.col("_f") > block).select(*on, F.ceil(F.col("_f") / block).cast("int").alias("_n")))
+    large = hot and materialize(rows.groupBy(*on).agg(F.count("*").alias("_f")).where(F.col("_f") > block).select(*on, F.ceil(F.col("_f") / block).cast("int").alias("_n")))
     match = F.col(f"l.{id}") < F.col(f"r.{id}")
     if when is not None:
         match = match & when
     for c in on:
         match = match & (F.col(f"l.{c}") == F.col(f"r.{c}"))
-    if not hot.limit(1).count():
+    if not hot or not large.limit(1).count():
         return rows.alias("l").join(rows.alias("r"), match)
-    cut = rows.join(small(hot), on, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(id), F.col("_n")).cast("int"))
+    cut = rows.join(small(large), on, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64(id), F.col("_n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
     l, r = cut.withColumn("_i", F.col("_own")).withColumn("_j", other), cut.withColumn("_j", F.col("_own")).withColumn("_i", other)
     return l.alias("l").join(r.alias("r"), match & (F.col("l._i") == F.col("r._i")) & (F.col("l._j") == F.col("r._j")))

@@ -239,8 +239,9 @@ def test_jaccard_against_brute_force(spark):
     df = spark.createDataFrame([(k, m) for k, s in sets.items() for m in s], "id string, member string")
     for least in (0.05, 0.3, 0.5, 1.0):
         want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
-        got = {(r["a"], r["b"]): r["sim"] for r in similarity.jaccard_pairs(df, least, 8).collect()}
-        assert got == pytest.approx({p: s for p, s in want.items() if s >= least})
+        for prefix in (True, False):
+            got = {(r["a"], r["b"]): r["sim"] for r in similarity.jaccard_pairs(df, least, 8, prefix).collect()}
+            assert got == pytest.approx({p: s for p, s in want.items() if s >= least})
 
 
 def test_signatures_of_sets_signed_in_parts(spark, rows):
@@ -270,7 +271,8 @@ def test_girvan_newman_step_by_step(spark, rows):
 
 def test_betweenness_in_parts(spark, rows):
     edges = spark.createDataFrame(_random_graph(12, 20), "a string, b string")
-    assert rows(graph.edge_betweenness(edges, 6, sources=4)) == rows(graph.edge_betweenness(edges, 6))
+    want = rows(graph.edge_betweenness(edges, 6))
+    assert rows(graph.edge_betweenness(edges, 6, sources=4, sent=0)) == rows(graph.edge_betweenness(edges, 6, sent=0)) == want
 
 
 def test_girvan_newman_against_brute_force(spark, rows):
