@@ -1,5 +1,6 @@
 """How distinctive a term is of a record: two-Poisson mixtures beside tf-idf."""
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -7,13 +8,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import clean_id, has_text, terms
-from millrace.plans.store import materialize, small
+from millrace.functions.text import PY_TERM, clean_id, has_text
+from millrace.plans.store import dense_codes, materialize, small
 
 #: Rounds of expectation-maximisation.
 ROUNDS = 40
 #: Rate below which a component counts as absent.
 FLOOR = 1e-12
+#: Terms that a worker keeps at hand, and uses counted at a time.
+KEPT_TERMS, STEP = 500_000, 1_000_000
+
+
+class _Terms(dict):
+    """Numbers of terms, and which of them aren't of digits only."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[str] = []
+        self.counts: list[bool] = []
+
+    def __missing__(self, term: str) -> int:
+        k = self[term] = len(self.names)
+        self.names.append(term)
+        self.counts.append(not term.isdecimal())
+        return k
+
+
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Uses of each term by record, counted over some texts at a time."""
+    find, known = re.compile(PY_TERM).findall, _Terms()
+
+    def out(flat: list[int], records: np.ndarray, sizes: list[int]) -> pa.RecordBatch:
+        rec, of = np.unique(records, return_inverse=True)
+        keys = np.sort(np.repeat(of, sizes) * len(known.names) + np.array(flat, np.int64))
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        tf, keys = np.diff(np.append(first, len(keys))), keys[first]
+        term = keys % len(known.names)
+        on = np.array(known.counts)[term]
+        used, place = np.unique(term[on], return_inverse=True)
+        names = pa.array([known.names[k] for k in used.tolist()], pa.string()).take(pa.array(place))
+        return pa.RecordBatch.from_arrays([pa.array(rec[(keys // len(known.names))[on]]), names, pa.array(tf[on])], names=["r", "term", "tf"])
+
+    for batch in batches:
+        records, begin = batch.column(0).to_numpy(), 0
+        flat: list[int] = []
+        sizes: list[int] = []
+        for k, text in enumerate(batch.column(1).to_pylist()):
+            found = find(text.lower())
+            flat.extend(map(known.__getitem__, found))
+            sizes.append(len(found))
+            if len(flat) >= STEP or k == batch.num_rows - 1:
+                if flat:
+                    yield out(flat, records[begin : k + 1], sizes)
+                flat, sizes, begin = [], [], k + 1
+        if len(known) > KEPT_TERMS:
+            known = _Terms()
 
 
 def fit_two_poisson(tf: np.ndarray, count: np.ndarray, term: np.ndarray, n_terms: int, n_records: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,26 +114,28 @@ def distinctive_terms(df: DataFrame, record: str, text: str, stopwords: DataFram
     Per term a mixture of two Poisson distributions is fitted by expectation-maximisation on the histogram of its counts
     (number of records by tf, the records without it included), many terms at a time. The histogram has at most as many
     cells as there are distinct counts, so a term held by every record is no larger a group than another; rows meet the
-    parameters in one join by term, and the posterior of each count is a closed expression.
+    parameters in one join by term, and the posterior of each count is a closed expression. Records travel as dense numbers.
 
     Terms of digits only and those of `stopwords` (column `word`, trimmed and lower-cased) don't count. Null and blank
     records and texts are left out; a record without terms has no row; repeated rows are counted as they come; other
     columns are ignored; an empty table gives no rows.
     """
     words = df.select(clean_id(record).alias("record"), F.col(text).alias("_t")).where(F.col("record").isNotNull() & has_text("_t"))
-    words = words.select("record", F.explode(terms("_t")).alias("term"))
-    tf = words.groupBy("record", "term").agg(F.count("*").alias("tf")).where(~F.col("term").rlike(r"^\p{Nd}+$"))
+    words = materialize(words)
+    codes = small(materialize(dense_codes(words.select("record").distinct(), "record", "r")))
+    uses = words.join(codes, "record").select("r", "_t").mapInArrow(_uses, "r long, term string, tf long")
+    tf = uses.groupBy("r", "term").agg(F.sum("tf").alias("tf"))
     if stopwords is not None:
         listed = stopwords.select(F.lower(F.trim("word")).alias("term")).where("term <> ''").distinct()
         tf = tf.join(small(listed), "term", "left_anti")
     tf = materialize(tf)
-    n = tf.select("record").distinct().count()
+    n = tf.select("r").distinct().count()
     cells = tf.groupBy("term", "tf").agg(F.count("*").alias("c")).groupBy("term").agg(F.collect_list(F.struct("tf", "c")).alias("cells"))
     fitted = cells.mapInArrow(_fit(max(n, 1), rounds), "term string, df long, background_rate double, elite_rate double, elite_share double")
     odds = F.ln(F.col("elite_share") / (1 - F.col("elite_share"))) - (F.col("elite_rate") - F.col("background_rate")) + F.col("tf") * (F.ln("elite_rate") - F.ln("background_rate"))
     elite = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), odds))))
     score = F.round(F.col("tf") * F.log2(F.lit(float(n)) / F.col("df")), 9)
-    return tf.join(fitted, "term").select("record", "term", "tf", "df", F.lit(n).cast("long").alias("n"), elite.alias("elite"), "elite_rate", "background_rate", score.alias("score"))
+    return tf.join(fitted, "term").join(codes, "r").select("record", "term", "tf", "df", F.lit(n).cast("long").alias("n"), elite.alias("elite"), "elite_rate", "background_rate", score.alias("score"))
 
 
 def most_distinctive(scored: DataFrame) -> DataFrame:
