@@ -28,15 +28,26 @@ def pearson_model(rated: DataFrame, of: str = "item", by: str = "user", min_comm
 
     Sums of the co-rated values are aggregated per pair (partly before the exchange). Values without variance give no row;
     a correlation counts as positive if it is when rounded to 9 places; sim is rounded to 6. candidates (a, b) restricts the pairs.
-    Of a value of `by` with more than `block` ratings two blocks meet at a time.
+    The min_common - 1 most frequent values of `by`, if they have more than `block` ratings, pair nothing up: a pair has another
+    one in common, and their part in the sums is added to it. Of further such values two blocks meet at a time.
     """
     enough = rated.groupBy(of).agg(F.count("*").alias("c")).where(F.col("c") >= min_common).select(of)
     x = rated.join(enough, of, "left_semi").select(F.col(of).alias("a"), by, F.col("stars").alias("x"))
+    popular: list = []
     if candidates is None:
-        co = meet(materialize(x), [by], "a", block).select("l.a", F.col("r.a").alias("b"), "l.x", F.col("r.x").alias("y"))
+        x = materialize(x)
+        popular = [r[by] for r in x.groupBy(by).agg(F.count("*").alias("c")).where(F.col("c") > block).orderBy(F.desc("c"), by).limit(min_common - 1).collect()]
+        co = meet(x.where(~F.col(by).isin(popular)) if popular else x, [by], "a", block).select("l.a", F.col("r.a").alias("b"), "l.x", F.col("r.x").alias("y"))
     else:
         co = candidates.join(x, "a").join(x.select(F.col("a").alias("b"), by, F.col("x").alias("y")), ["b", by])
-    s = co.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy")).where(F.col("n") >= min_common)
+    sums = {"n": F.lit(1).cast("long"), "sx": F.col("x"), "sy": F.col("y"), "sxy": F.col("x") * F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y")}
+    s = co.groupBy("a", "b").agg(*(F.sum(v).alias(k) for k, v in sums.items())).where(F.col("n") >= min_common - len(popular))
+    for value in popular:
+        own = x.where(F.col(by) == value)
+        s = s.join(own.select("a", "x"), "a", "left").join(own.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
+        both = F.col("x").isNotNull() & F.col("y").isNotNull()
+        s = s.select("a", "b", *((F.col(k) + F.when(both, v).otherwise(0)).alias(k) for k, v in sums.items()))
+    s = s.where(F.col("n") >= min_common)
     vx, vy = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     s = s.withColumn("v", F.round(vx, 9) * F.round(vy, 9)).where("v > 0")
     sim = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt("v")

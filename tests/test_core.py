@@ -119,6 +119,12 @@ def test_pearson(spark, rows):
     assert rows(recommend.pearson_model(_rated(spark, data))) == [("a", "b", 1.0)]  # c: no variance, d: two raters, e: negative
 
 
+def test_pearson_with_popular_raters(spark, rows):
+    data = [(f"u{u}", f"i{i}", float(RNG.randint(1, 5))) for u in range(14) for i in range(12) if u < 3 or RNG.random() < 0.5]
+    rated = _rated(spark, data)
+    assert rows(recommend.pearson_model(rated, block=7)) == rows(recommend.pearson_model(rated)) != []
+
+
 def test_ratings_and_item_forecast(spark, rows):
     raw = spark.createDataFrame([("u", "a", 4.0), (" u", "a ", 2.0), (None, "a", 1.0), ("u", "b", 5.0), ("u", "c", 1.0), ("u", "d", 2.0), ("u", "e", None)], "user_id string, business_id string, stars double")
     rated = recommend.ratings(raw)
