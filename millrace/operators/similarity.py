@@ -147,28 +147,56 @@ def _band_keys(bands: int, rows: int):
                 for k in range(rows):
                     key = (key * np.uint64(0x9E3779B97F4A7C15) + h[:, :, k]) * np.uint64(0xD6E8FEB86659FD93)
                     key ^= key >> np.uint64(32)
-            of = pa.array(np.repeat(np.arange(batch.num_rows), bands))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(key.ravel().view(np.int64))], names=["id", "key"])
+            codes = np.repeat(batch.column(0).to_numpy(), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(key.ravel().view(np.int64))], names=["c", "key"])
 
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose key another row has too. Rows arrive sorted by key; only the last one of a batch is held back."""
+    codes, keys, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def out(on: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(codes[: len(on)][on]), pa.array(keys[: len(on)][on])], names=["c", "key"])
+
+    for batch in batches:
+        codes, keys = np.concatenate([codes, batch.column(0).to_numpy()]), np.concatenate([keys, batch.column(1).to_numpy()])
+        if len(keys) < 2:
+            continue
+        same = keys[1:] == keys[:-1]
+        on = np.concatenate(([met], same[:-1])) | same
+        yield out(on)
+        codes, keys, met = codes[-1:], keys[-1:], bool(same[-1])
+    if met:
+        yield out(np.ones(1, bool))
+
+
 def lsh_candidates(signatures: DataFrame, bands: int, rows: int, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs a < b whose signatures agree in all rows of some band. Sets of equal signatures form a class, of which the least
-    id is banded; its other members are paired by the class. Buckets of more than `block` classes are taken block by block."""
-    known = materialize(signatures.select("id", F.xxhash64("signature").alias("c1"), F.hash("signature").alias("c2"), "signature"))
+    """Distinct pairs a < b whose signatures agree in all rows of some band.
+
+    Sets of equal signatures form a class, of which the least id is banded; its other members are paired by the class. Sets travel as
+    numbers; of the many bands' keys only those that two sets share are joined, and buckets of more than `block`
+    classes are taken block by block.
+    """
+    known = materialize(signatures.select("id", F.xxhash64("signature").alias("c1"), F.hash("signature").alias("c2"), "signature", F.monotonically_increasing_id().alias("c")))
     reps = known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     several = reps.where("n > 1").limit(1).count()
-    of = materialize(known.join(reps, ["c1", "c2"]).select("id", "rep"))
-    kind = signatures.schema["id"].dataType.simpleString()
+    of = materialize(known.join(reps, ["c1", "c2"]).select("id", "rep")) if several else None
     banded = known.join(of.where("id = rep").select("id"), "id", "left_semi") if several else known
-    keyed = materialize(banded.select("id", "signature").mapInArrow(_band_keys(bands, rows), f"id {kind}, key long"))
-    pairs = meet(keyed, ["key"], "id", block).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    if not several:
-        return pairs
-    both = pairs.join(of.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a").join(of.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b")
-    same = meet(of, ["rep"], "id", block).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).unionByName(same)
+    keyed = banded.select("c", "signature").mapInArrow(_band_keys(bands, rows), "c long, key long")
+    shared = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "c long, key long"))
+    pairs = meet(shared, ["key"], "c", block).select(F.col("l.c").alias("x"), F.col("r.c").alias("y")).distinct()
+    for code, name in (("x", "ia"), ("y", "ib")):
+        pairs = pairs.join(known.select(F.col("c").alias(code), F.col("id").alias(name)), code)
+    if several:
+        for name in ("ia", "ib"):
+            pairs = pairs.join(of.select(F.col("rep").alias(name), F.col("id").alias(f"own_{name}")), name)
+        pairs = pairs.select(F.col("own_ia").alias("ia"), F.col("own_ib").alias("ib"))
+    pairs = pairs.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
+    if several:
+        pairs = pairs.unionByName(meet(of, ["rep"], "id", block).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")))
+    return pairs
 
 
 def lsh_pairs(sets: DataFrame, bands: int = BANDS, rows: int = ROWS, at_least: float = 0.05, b: int = B, p: int = P, seed: int = SEED) -> DataFrame:
