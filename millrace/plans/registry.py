@@ -210,8 +210,10 @@ def user_profile(s, d):
 
 
 def content_predict(s, d):
-    profiles = _profiles(s, d)
-    return recommend.predict_by_content(_to_rate(s, d), materialize(recommend.user_profiles(_rated(s, d), profiles)), profiles)
+    """Only the profiles of users that are asked for are put together."""
+    profiles, pairs = _profiles(s, d), materialize(_to_rate(s, d))
+    rated = _rated(s, d).join(pairs.select("user").distinct(), "user", "left_semi")
+    return recommend.predict_by_content(pairs, materialize(recommend.user_profiles(rated, profiles)), profiles)
 
 
 def cooccur_graph(s, d):
