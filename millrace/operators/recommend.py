@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from millrace.functions.text import ascii_lower, clean_id
 from millrace.operators.similarity import jaccard, lsh_candidates, minhash_signatures
@@ -133,16 +134,21 @@ ARRAY = 100_000
 def predict_by_content(pairs: DataFrame, users: DataFrame, profiles: DataFrame, at_least: float = 0.01, array: int = ARRAY) -> DataFrame:
     """Cosine of the word sets of user and item: user, item, sim >= at_least. Unknown users and items have similarity 0.
 
-    Profiles of items (bounded by their `top`) and of users travel as arrays of word numbers, one row each, so the pairs are joined
+    Words may be numbers already. Profiles of items (bounded by their `top`) and of users travel as arrays of word numbers, one row each, so the pairs are joined
     once to either and the common words are counted inside the row. The common words of users of more than `array` words are
     counted by a join.
     """
-    codes = dense_codes(profiles.select("word").distinct(), "word", "i")
     known = pairs.select("user").distinct()
-    coded = materialize(users.join(known, "user", "left_semi").join(codes, "word").select("user", "i"))
+    users = users.join(known, "user", "left_semi")
+    if isinstance(profiles.schema["word"].dataType, IntegralType):
+        profiles, users = profiles.select("item", F.col("word").alias("i")), users.select("user", F.col("word").alias("i"))
+    else:
+        codes = dense_codes(profiles.select("word").distinct(), "word", "i")
+        profiles, users = profiles.join(codes, "word").select("item", "i"), users.join(codes, "word").select("user", "i")
+    coded = materialize(users)
     sizes = coded.groupBy("user").agg(F.count("*").alias("nu"))
     large = materialize(sizes.where(F.col("nu") > array))
-    held = profiles.join(codes, "word").groupBy("item").agg(F.collect_list("i").alias("wi"))
+    held = profiles.groupBy("item").agg(F.collect_list("i").alias("wi"))
     own, rest = coded, None
     if large.limit(1).count():
         own = coded.join(large, "user", "left_anti")

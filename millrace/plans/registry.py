@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import clean_id
 from millrace.operators import cluster, explore, graph, itemsets, recommend, similarity, sketch
 from millrace.plans import queries_packed
-from millrace.plans.store import latest, materialize, shared_dir
+from millrace.plans.store import dense_codes, latest, materialize, shared_dir
 from millrace.sources import read_csv_pairs, read_json, read_table, read_text, read_words, sinks, streams
 from millrace.sources.tables import REVIEW
 from millrace.streaming import operators as streaming
@@ -210,10 +210,12 @@ def user_profile(s, d):
 
 
 def content_predict(s, d):
-    """Only the profiles of users that are asked for are put together."""
+    """Words are numbered first, and only the profiles of users that are asked for are put together."""
     profiles, pairs = _profiles(s, d), materialize(_to_rate(s, d))
+    codes = dense_codes(profiles.select("word").distinct(), "word", "i")
+    profiles = materialize(profiles.join(codes, "word").select("item", F.col("i").alias("word")))
     rated = _rated(s, d).join(pairs.select("user").distinct(), "user", "left_semi")
-    return recommend.predict_by_content(pairs, materialize(recommend.user_profiles(rated, profiles)), profiles)
+    return recommend.predict_by_content(pairs, recommend.user_profiles(rated, profiles), profiles)
 
 
 def cooccur_graph(s, d):
