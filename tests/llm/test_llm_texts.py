@@ -285,3 +285,26 @@ def test_reading_level_without_labels(spark):
     assert [r["level"] for r in reading_level(docs, labels)[0].collect()] == [1.0]
     assert reading_level(docs.where("false"), labels)[0].count() == 0
     assert train(np.zeros((3, 2)), np.array([3.0, 3.0, 3.0]), ["a", "a", "b"]).grade(np.zeros((1, 2))).tolist() == [3.0]
+
+
+def test_p10_found_takes_cases_that_trees_would_place_low(spark, tmp_path, rows):
+    """Hard documents among the labelled ones are long: trees go by the length, and the hard short one is a case all the same."""
+    from millrace.llm.queries import p10_found
+
+    text = lambda word, n: ". ".join([" ".join([word] * n)] * 4) + "."
+    docs = [(k, text("institutional", 15) if k % 2 else text("cat", 10), "en", "abc"[k // 2 % 3]) for k in range(240)]
+    docs += [(900, text("institutional", 10), "EN", "a"), (901, text("institutional", 7), "en", "a"), (902, text("institutional", 10), "fr", "a"), (903, None, "en", "a"), (904, "...", "en", "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(k, 1, 20 if k % 2 else 2) for k in range(240)]
+    spark.createDataFrame(labels, "doc_id long, rater_id int, school_year int").write.parquet(f"{tmp_path}/reading_labels.parquet")
+    assert rows(p10_found(spark, str(tmp_path))) == sorted([(k,) for k in range(1, 240, 2)] + [(900,)], key=repr)
+
+
+def test_all_labelled_documents_train(spark, monkeypatch):
+    from millrace.llm import reading
+
+    seen = []
+    monkeypatch.setattr(reading, "train", lambda x, y, source: seen.append(len(y)) or train(x[:40], y[:40], source[:40]))
+    docs = spark.range(20_050).selectExpr("id AS doc_id", "concat('Word ', id % 7, ' here.') AS text", "'a' AS source")
+    reading_level(docs, docs.selectExpr("doc_id", "1 AS rater_id", "cast(doc_id % 9 + 1 AS int) AS school_year"))
+    assert seen == [20_050]
