@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from millrace.functions.text import ascii_lower, clean_id
-from millrace.operators.similarity import jaccard, lsh_candidates, minhash_signatures
+from millrace.operators.graph import cooccurrence_edges
+from millrace.operators.similarity import minhash_signatures
 from millrace.plans.store import BLOCK, dense_codes, materialize, meet, small
 
 #: ASCII punctuation, deleted (not blanked) before content words are cut. Fixed values.
@@ -60,10 +61,21 @@ _B, _P, _SEED, _BANDS, _ROWS = 15, 29, 15, 5, 4
 
 
 def user_model_lsh(rated: DataFrame, bands: int = _BANDS, rows: int = _ROWS, b: int = _B, p: int = _P, seed: int = _SEED, at_least: float = 0.01, min_common: int = 3) -> DataFrame:
-    """The user-user model over LSH candidates of at least the given Jaccard similarity."""
+    """The user-user model over LSH candidates of at least the given Jaccard similarity.
+
+    Candidates agree in all rows of a band. With so few rows of so small a hash family that holds for a fixed share of all pairs, so they aren't
+    listed: the pairs that have min_common items in common, which the model needs anyway, are, and their signatures are compared.
+    """
     sets = materialize(rated.select(F.col("user").alias("id"), F.col("item").alias("member")))
-    near = lsh_candidates(materialize(minhash_signatures(sets, bands * rows, b, p, seed)), bands, rows)
-    return pearson_model(rated, "user", "item", min_common, jaccard(near, sets, at_least).select("a", "b"))
+    signatures = materialize(minhash_signatures(sets, bands * rows, b, p, seed))
+    met = cooccurrence_edges(sets.select(F.col("id").alias("basket"), F.col("member").alias("item")), max(1, min_common))
+    known = signatures.join(sets.groupBy("id").agg(F.count("*").alias("n")), "id")
+    for side in "ab":
+        met = met.join(known.select(F.col("id").alias(side), F.col("signature").alias(f"s{side}"), F.col("n").alias(f"n{side}")), side)
+    band = lambda s, k: F.slice(s, k * rows + 1, rows)
+    agree = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: band(F.col("sa"), k) == band(F.col("sb"), k))
+    near = met.where(agree & (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) >= at_least)).select("a", "b")
+    return pearson_model(rated, "user", "item", min_common, materialize(near))
 
 
 def neighbours(model: DataFrame) -> DataFrame:
